@@ -1,10 +1,11 @@
 """The queries that apply each operator to its whole table, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from granary.llm import exact_dedup, sharding
+from granary.llm import exact_dedup, quality_rules, sharding
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
