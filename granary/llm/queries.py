@@ -1,9 +1,12 @@
 """The queries that apply each operator to its whole table, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from granary.llm import exact_dedup, quality_rules, sharding
+from granary.llm import exact_dedup, mixing, packing, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality_rules.op8_quality_rules,
