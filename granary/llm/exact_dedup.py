@@ -34,7 +34,7 @@ def frequent_keys(slim: DataFrame, rows: int) -> DataFrame:
     parts = slim.select(F.xxhash64("digest").alias("key"), (F.spark_partition_id() % MERGERS).alias("merger"))
     merged = parts.groupBy("merger").agg(F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("s"))
     # Grouped, since the merge of no summary at all, in a partition without rows, fails in Spark 4.1.
-    merged = merged.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
+    merged = merged.groupBy((F.col("merger") * 0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
     items = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {SHARE})")).alias("x"))
     return items.filter(F.col("x.count") >= max(2, rows / SHARE)).select(F.col("x.item").alias("key"))
 
