@@ -7,7 +7,7 @@ coordinate: two signatures agree in a coordinate with the probability of the wei
 below a rank that falls with the set's weight are thrown, about t log t for t coordinates whatever the set's size.
 
 Signatures are joined by bands. Texts with equal sets are one representative. In a bucket, every member is compared
-with one centre; members that it does not connect lead in turn, a few at first and more in each round, and are compared
+with one centre; members that it does not connect lead in turn, some at first and more in each round, and are compared
 with what is not yet connected to them, unless the triangle inequality of the Jaccard distance to the centre shows that
 a pair can't be similar. So no link between two texts that share a band is lost that would join two classes, and a bucket
 of near copies costs a few comparisons a member. Similarities are those of the whole sets.
@@ -28,8 +28,10 @@ BANDS, ROWS = 24, 5
 #: Similar from NUMERATOR / DENOMINATOR on: 0.8.
 NUMERATOR, DENOMINATOR = 4, 5
 WORDS = 5
-#: Members of a bucket that lead in the first round of comparisons beyond the centre's; four times as many in the next.
-LEADERS = 8
+#: Members of a bucket that lead in the first round of comparisons beyond the centre's; eight times as many in the next.
+LEADERS = 64
+#: Classes of window hashes in which sets are counted to bound what two of them share.
+CLASSES = 128
 
 
 def _gaps(cells: np.ndarray, throw: int) -> np.ndarray:
@@ -84,11 +86,11 @@ def unit_regions(of: np.ndarray, elements: np.ndarray, weighted: bool) -> tuple[
     return of, np.where(nth > 0, mix(elements + nth.astype(U)), elements)
 
 
-SIGNED = "doc_id long, regions array<long>, digest binary, bands array<long>"
+SIGNED = "doc_id long, regions array<int>, digest binary, bands array<long>"
 
 
 def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = False, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """doc_id, regions (the sorted hashes of the whole set), a digest of the set, and a hash for each band."""
+    """doc_id, regions (32 bits of the hash of every element), a digest of the set, and a hash for each band."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_text(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted
                 some = np.where(size > 0, bands, 0)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, n),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((cells >> U(32)).astype(np.uint32).view(np.int32))),
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * 16).tobytes()), pa.py_buffer(digest)]),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]), pa.int32()), pa.array(keys[size > 0].reshape(-1))),
                 ], names=["doc_id", "regions", "digest", "bands"])
@@ -157,17 +159,30 @@ def _with_labels(df: DataFrame, labels: DataFrame, key: str, out: str) -> DataFr
     return df.join(named, F.col(key) == F.col("_node"), "left").withColumn(out, F.coalesce("_label", F.col(key))).drop("_node", "_label")
 
 
-def _with_common(far: DataFrame, buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of open buckets with the size of each set, and how much of it any other set of those buckets holds.
+def _overlap_bounds(far: DataFrame, buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of open buckets with the size of each set, and a histogram of those of its windows that another set of
+    these buckets holds, by classes of the windows' hashes.
 
-    Two sets share no more than the lesser of what each has in common with any: copies that were edited apart from each
-    other differ in windows that are theirs alone, and need not be compared.
+    Two sets share no more in a class than the lesser of their two counts. Copies that were edited apart from each
+    other miss windows in different classes, and need not be compared.
     """
     far = far.join(buckets.select("_key"), F.col("key") == F.col("_key"), "left_semi")
     those = materialize(sets.join(far.select("uid").distinct(), "uid", "left_semi"), "open-sets")
     once = those.select("uid", F.explode("regions").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid")).filter("n = 1")
-    alone = once.groupBy("uid").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = those.select("uid", F.size("regions").alias("size")).join(alone, "uid", "left").select(F.col("uid").alias("_uid"), "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    alone = once.groupBy("uid").agg(F.collect_list("x").alias("alone")).withColumnRenamed("uid", "_uid")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            total = np.zeros(n * CLASSES, dtype=np.int32)
+            for name, sign in (("regions", 1), ("alone", -1)):
+                column = batch.column(name)
+                of = np.repeat(np.arange(n), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                total += sign * np.bincount(of * CLASSES + column.flatten().to_numpy() % CLASSES, minlength=n * CLASSES).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(batch.column("regions").value_lengths().to_numpy(), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * CLASSES, pa.int32()), pa.array(total))], names=["_uid", "size", "common"])
+
+    joined = those.join(alone, F.col("uid") == F.col("_uid"), "left").select("uid", "regions", "alone")
+    sizes = joined.mapInArrow(count, "_uid long, size int, common array<int>")
     return far.join(sizes, F.col("uid") == F.col("_uid")).drop("_uid")
 
 
@@ -179,7 +194,8 @@ def links(signatures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     full = banded.groupBy("key").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("_key"), "centre")
     members = materialize(banded.join(full, F.col("key") == F.col("_key")).select("key", "centre", "uid"), "buckets")
     pairs = members.filter("uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct()
-    sets = signatures.select("uid", "regions")
+    # From here on only sets that share a band with another are read; the others move once, in this join.
+    sets = materialize(signatures.select("uid", "regions").join(members.select("uid").distinct(), "uid", "left_semi"), "sets")
     seen = materialize(similarities(pairs, sets), "similarities")
     found = seen.filter(_similar()).select("a", "b")
     labels = components(found)
@@ -197,10 +213,11 @@ def links(signatures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if open_.isEmpty():
             return chosen, found, labels
         if leaders == LEADERS:
-            far = materialize(_with_common(far, open_, sets), "common")
+            far = materialize(_overlap_bounds(far, open_, sets), "bounds")
         lead = far.filter("apart").join(open_, F.col("key") == F.col("_key")).filter(F.pmod(F.xxhash64("uid", F.lit(leaders)), F.col("n")) < leaders)
         lead = materialize(lead.select(F.col("key").alias("_key"), F.col("uid").alias("_uid"), F.col("d").alias("_d"), F.col("node").alias("_node"), F.col("size").alias("_size"), F.col("common").alias("_common")), "leaders")
-        possible = (NUMERATOR + DENOMINATOR) * F.least("common", "_common") >= NUMERATOR * (F.col("size") + F.col("_size"))
+        shared = F.aggregate(F.zip_with("common", "_common", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+        possible = (NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (F.col("size") + F.col("_size"))
         more = far.join(lead, (F.col("key") == F.col("_key")) & (F.col("node") != F.col("_node")) & (F.abs(F.col("d") - F.col("_d")) <= near) & possible)
         more = more.select(F.least("uid", "_uid").alias("a"), F.greatest("uid", "_uid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         more = materialize(similarities(more, sets), "more-similarities")
@@ -211,7 +228,7 @@ def links(signatures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if not late.isEmpty():
             found = found.unionByName(late)
             labels = components(found)
-        leaders *= 4
+        leaders *= 8
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = False) -> DataFrame:
@@ -229,6 +246,7 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", we
     rows = materialize(rows.select("doc_id", "uid", F.coalesce("label", "uid").alias("label")), "classes")
     first = F.max(F.struct(F.bitwise_not("doc_id").alias("d"), F.bitwise_not("uid").alias("u")))
     top = rows.groupBy(F.col("label").alias("_label")).agg(first.alias("top"), F.count(F.lit(1)).alias("class_size"))
+    top = materialize(top, "class-tops")  # so that a class of many rows can be split in the join
     out = rows.join(top, F.col("label") == F.col("_label"))
     return out.select("doc_id", F.bitwise_not("top.d").alias("class_id"), "class_size", (F.col("uid") == F.bitwise_not("top.u")).alias("kept"))
 
