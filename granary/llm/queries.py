@@ -1,7 +1,7 @@
 """The queries that apply each operator to its whole table, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from granary.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, sharding, token_counts
+from granary.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
