@@ -208,7 +208,9 @@ def _judged(rows: DataFrame, model: DataFrame) -> DataFrame:
     """Adds q_distance and q_kept; all rows of docs stay."""
     of = model.withColumnRenamed("q_lang", "g_lang").withColumnRenamed("q_source", "g_source")
     out = rows.join(of, F.col("q_lang").eqNullSafe(F.col("g_lang")) & F.col("q_source").eqNullSafe(F.col("g_source")), "left")
-    return out.withColumn("q_distance", _distance()).withColumn("q_kept", ~base_failed() & (F.coalesce("q_distance", F.lit(0.0)) <= CUTOFF)).drop(*[c for c in of.columns])
+    # One condition on both sides of the join: a filter on the counts alone would be pushed below it, and repeat them.
+    kept = F.when(base_failed(), F.lit(False)).otherwise(F.coalesce("q_distance", F.lit(0.0)) <= CUTOFF)
+    return out.withColumn("q_distance", _distance()).withColumn("q_kept", kept).drop(*[c for c in of.columns])
 
 
 def quality_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
