@@ -46,13 +46,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """For free(): how many tables materialize() has written so far."""
+    return len(_written)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free(since: int) -> None:
+    """Delete the tables written since mark() but for the last, which is all that the result still reads."""
+    for spark, path in _written[since:-1]:
+        _delete(spark, path)
+    del _written[since:-1]
+
+
 def release() -> None:
     """Delete every table that materialize() wrote in this process; results that read them end here."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(*_written.pop())
         except Exception:  # the session has ended
             return
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import as_text, documents, materialize, without_space
+from granary.llm.common import as_text, documents, free, mark, materialize, without_space
 
 #: A digest of more than 1 / SHARE of all rows is heavy: at most SHARE digests are, which bounds the broadcast.
 SHARE = 1000
@@ -76,7 +76,9 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Decisions are made on slim rows and carried back by (doc_id, digest); where a doc_id repeats with one text, one of
     its rows is taken.
     """
+    since = mark()
     kept = materialize(exact_groups(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")), "kept")
+    free(since)
     digest = F.unhex(F.sha2(without_space(as_text(text)), 256))
     rows = docs.withColumn("_digest", digest)
     found = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi")

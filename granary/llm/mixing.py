@@ -14,7 +14,7 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD, as_text, documents, materialize, running_sums
+from granary.llm.common import WORD, as_text, documents, free, mark, materialize, running_sums
 
 #: No document is taken more often.
 MOST = 3
@@ -161,9 +161,11 @@ def apply_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
 
     Decisions are carried back by (doc_id, source, digest); rows that repeat with the same three share what they take.
     """
+    since = mark()
     taken = mix(docs, None, text, doc_id, source)
     copies = taken.filter("taken > 0").groupBy("doc_id", "source", "digest").agg(F.round(F.sum(F.col("taken") / F.col("size")) / F.count(F.lit(1))).cast("int").alias("_copies")).filter("_copies > 0")
     copies = materialize(copies.withColumnsRenamed({"doc_id": "_doc_id", "source": "_source", "digest": "_mix_digest"}), "mix-copies")
+    free(since)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(own.alias("_row"), F.col(doc_id).cast("long").alias("_i"), F.col(source).cast("string").alias("_s"), F.unhex(F.md5(as_text(text).cast("binary"))).alias("_d"))
     same = F.col("_i").eqNullSafe(F.col("_doc_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_d") == F.col("_mix_digest"))

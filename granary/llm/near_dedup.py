@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import as_text, documents, materialize
+from granary.llm.common import as_text, documents, free, mark, materialize
 from granary.llm.hashing import U, groups, mix, shingles
 
 BANDS, ROWS = 24, 5
@@ -220,7 +220,10 @@ def links(signatures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         possible = (NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (F.col("size") + F.col("_size"))
         more = far.join(lead, (F.col("key") == F.col("_key")) & (F.col("node") != F.col("_node")) & (F.abs(F.col("d") - F.col("_d")) <= near) & possible)
         more = more.select(F.least("uid", "_uid").alias("a"), F.greatest("uid", "_uid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        more = materialize(similarities(more, sets), "more-similarities")
+        # Written first, so that a few pairs are known to be few, and only their sets move.
+        more = materialize(more, "more-pairs")
+        those = more.select(F.col("a").alias("uid")).unionByName(more.select(F.col("b").alias("uid"))).distinct()
+        more = materialize(similarities(more, sets.join(those, "uid", "left_semi")), "more-similarities")
         done = done.unionByName(more.select("a", "b"))
         late = more.filter(_similar()).select("a", "b")
         # A leader has met its whole bucket; it leads no more, and no one needs to meet it.
@@ -253,7 +256,9 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", we
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with all their columns. doc_id names rows; of rows that repeat one, one stays."""
+    since = mark()
     kept = materialize(near_classes(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias("_keep")), "near-kept")
+    free(since)
     found = docs.join(kept.distinct(), F.col(doc_id).eqNullSafe(F.col("_keep")), "left_semi")
     if not found.groupBy(F.col(doc_id).alias("_i")).count().filter("count > 1").isEmpty():
         same = kept.groupBy("_keep").count()

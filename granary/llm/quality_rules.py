@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACE, WORD, as_text, count_of, documents, materialize
+from granary.llm.common import SPACE, WORD, as_text, count_of, documents, free, mark, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -228,8 +228,10 @@ def quality_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def drop_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns. The counts are computed again rather than joined:
     that costs CPU, but moves no text."""
+    since = mark()
     slim = materialize(slim_rows(docs, text, lang, source), "quality-counts")
     model = fit(slim.filter(F.col("q_n_words") >= MIN_WORDS))
+    free(since)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(own.alias("q_row"), F.col(text).alias("q_text"), F.col(lang).cast("string").alias("q_lang"), F.col(source).cast("string").alias("q_source"))
     return _judged(with_counts(rows, "q_text").withColumns(vector()).drop("q_text"), model).filter("q_kept").select("q_row.*")
