@@ -73,19 +73,20 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Decisions are made on slim rows and carried back by (doc_id, digest); where a doc_id repeats with one text, one of
-    its rows is taken.
+    Decisions are made on slim rows and carried back by doc_id: the few that go are the small side of the join. Where a
+    doc_id repeats, by (doc_id, digest), and one of the rows that repeat both is taken.
     """
     since = mark()
-    kept = materialize(exact_groups(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")), "kept")
+    groups = exact_groups(docs, text, doc_id).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"), "kept")
+    groups = materialize(groups, "kept")
     free(since)
-    digest = F.unhex(F.sha2(without_space(as_text(text)), 256))
-    rows = docs.withColumn("_digest", digest)
-    found = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi")
-    slim = found.groupBy(F.col(doc_id).alias("_i"), F.col("_digest").alias("_d")).count().filter("count > 1")
-    if not slim.isEmpty():
-        found = found.dropDuplicates([doc_id, "_digest"])
-    return found.drop("_digest")
+    if groups.groupBy("_id").count().filter("count > 1").isEmpty():
+        gone = materialize(groups.filter(~F.col("kept")).select("_id"), "gone")
+        return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.withColumn("_own_digest", F.unhex(F.sha2(without_space(as_text(text)), 256)))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
+    found = rows.join(groups.filter("kept").select("_id", "_digest"), same, "left_semi")
+    return found.dropDuplicates([doc_id, "_own_digest"]).drop("_own_digest")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,9 +193,11 @@ def links(signatures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     banded = signatures.join(keep, "uid", "left_semi").select("uid", F.explode("bands").alias("key"))
     full = banded.groupBy("key").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("_key"), "centre")
     members = materialize(banded.join(full, F.col("key") == F.col("_key")).select("key", "centre", "uid"), "buckets")
-    pairs = members.filter("uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct()
+    pairs = materialize(members.filter("uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct(), "pairs")
     # From here on only sets that share a band with another are read; the others move once, in this join.
-    sets = materialize(signatures.select("uid", "regions").join(members.select("uid").distinct(), "uid", "left_semi"), "sets")
+    # Ids and pairs are written before they are joined, so that Spark knows whether they are small.
+    ids = materialize(members.select("uid").distinct(), "member-ids")
+    sets = materialize(signatures.select("uid", "regions").join(ids, "uid", "left_semi"), "sets")
     seen = materialize(similarities(pairs, sets), "similarities")
     found = seen.filter(_similar()).select("a", "b")
     labels = components(found)
@@ -257,15 +259,16 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", we
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with all their columns. doc_id names rows; of rows that repeat one, one stays."""
     since = mark()
-    kept = materialize(near_classes(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias("_keep")), "near-kept")
+    classes = materialize(near_classes(docs, text, doc_id).select(F.col("doc_id").alias("_id"), "kept"), "near-kept")
     free(since)
-    found = docs.join(kept.distinct(), F.col(doc_id).eqNullSafe(F.col("_keep")), "left_semi")
-    if not found.groupBy(F.col(doc_id).alias("_i")).count().filter("count > 1").isEmpty():
-        same = kept.groupBy("_keep").count()
-        if same.filter("count > 1").isEmpty():
-            return found.dropDuplicates([doc_id])
+    if classes.groupBy("_id").count().filter("count > 1").isEmpty():
+        # Few rows go: their ids are the small side, which Spark broadcasts if it is small enough.
+        gone = materialize(classes.filter(~F.col("kept")).select("_id"), "near-gone")
+        return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+    kept = classes.filter("kept")
+    if not kept.groupBy("_id").count().filter("count > 1").isEmpty():
         raise ValueError("near copies can't be told apart: doc_id repeats with different texts")
-    return found
+    return docs.join(kept.select("_id"), F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([doc_id])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
