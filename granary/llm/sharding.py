@@ -76,11 +76,12 @@ def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text", doc_id:
     whole_df = F.broadcast(spark.createDataFrame(list(whole.items()), "cell int, shard int"))
     placed = slim.join(whole_df, "cell")
     if parts:
-        cut = F.broadcast(spark.createDataFrame(parts, "cell int, shard int, lo long, hi long"))
-        inside = slim.join(F.broadcast(cut.select("cell").distinct()), "cell", "left_semi")
-        at = running_sums(inside, ["cell"], F.xxhash64("uid"), {"at": F.col("size")}, rows, ["uid"])
-        hit = (at["cell"] == cut["cell"]) & (at["at"] >= cut["lo"]) & (at["at"] < cut["hi"])
-        placed = placed.unionByName(at.join(cut, hit).select(*[at[c] for c in slim.columns], cut["shard"]))
+        cut = spark.createDataFrame(parts, "_cell int, _shard int, _lo long, _hi long")
+        cells = spark.createDataFrame([(c,) for c in sorted({p[0] for p in parts})], "_cell int")
+        inside = slim.join(F.broadcast(cells), F.col("cell") == F.col("_cell"), "left_semi")
+        at = running_sums(inside, ["cell"], F.xxhash64("uid"), {"_at": F.col("size")}, rows, ["uid"])
+        hit = (F.col("cell") == F.col("_cell")) & (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))
+        placed = placed.select(*slim.columns, "shard").unionByName(at.join(F.broadcast(cut), hit).select(*slim.columns, F.col("_shard").alias("shard")))
     slots = running_sums(placed, ["shard"], F.xxhash64("uid"), {"slot": F.lit(1)}, rows, ["uid"])
     return slots.select("doc_id", "size", "text_crc32", "shard", "slot")
 
