@@ -90,3 +90,14 @@ def po_box(c: Column) -> Column:
 
 def us_zip(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, US_ZIP, 1), F.lit(""))
+
+# Fixed value: a house number may be two numbers with a hyphen, and may end in one letter.
+HOUSE_NUMBER = "^(\\d+(?:-\\d+)?[A-Za-z]?)\\s+(\\S.*)$"
+
+
+def street_line(c: Column) -> Column:
+    """struct(house_number, street) of a line; no number where it doesn't begin with one, null for a blank line."""
+    line = F.trim(c)
+    number = F.nullif(F.regexp_extract(line, HOUSE_NUMBER, 1), F.lit(""))
+    street = F.when(number.isNull(), line).otherwise(F.trim(F.regexp_extract(line, HOUSE_NUMBER, 2)))
+    return F.when(line != "", F.struct(number.alias("house_number"), street.alias("street")))
