@@ -101,3 +101,42 @@ def street_line(c: Column) -> Column:
     number = F.nullif(F.regexp_extract(line, HOUSE_NUMBER, 1), F.lit(""))
     street = F.when(number.isNull(), line).otherwise(F.trim(F.regexp_extract(line, HOUSE_NUMBER, 2)))
     return F.when(line != "", F.struct(number.alias("house_number"), street.alias("street")))
+
+
+def fnv1a(c: Column, salt: int = 0) -> Column:
+    """32-bit FNV-1a over the code points of a string, each as one step; null for null.
+
+    Equal to a hash over UTF-16 units for texts below U+10000.
+    """
+    def step(h: Column, unit: Column) -> Column:
+        return (h.bitwiseXOR(F.ascii(unit).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    units = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.aggregate(units, F.lit(2166136261 ^ salt).cast("long"), step)
+
+
+def conjunction(*keys: Column) -> Column:
+    """Every combination of one key of each array, joined by a bar; none where an array is empty."""
+    def cross(left: Column, right: Column) -> Column:
+        return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.concat_ws("|", x, y))))
+
+    out = keys[0]
+    for more in keys[1:]:
+        out = cross(out, more)
+    return F.filter(out, lambda x: x.isNotNull())
+
+
+def address_id(state: Column, cell: Column, key: Column) -> Column:
+    """<state>.<cell>.<16 hex digits of the key's SHA-256>."""
+    return F.concat_ws(".", F.lower(state), cell, F.substring(F.sha2(key, 256), 1, 16))
+
+
+def designations(c: Column) -> Column:
+    """The designations of an organization's name, sorted."""
+    plain = F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")
+    return F.array_sort(F.filter(plain, lambda w: w.isin(*DESIGNATIONS)))
+
+
+def name_evidence(a: Column, b: Column) -> Column:
+    """How far two names with one canonical form agree: as written, but for spelling, or with other designations."""
+    return F.when(a == b, 0.9).when(designations(a) == designations(b), 0.75).otherwise(0.5)
