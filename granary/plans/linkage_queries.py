@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import linkage as L
+from granary.operators.lineage import cut
 from granary.plans.registry import query
 from granary.plans.tables import table
 
@@ -67,8 +68,7 @@ def lnk_patterns(spark, d):
 def lnk_resolve(spark, d):
     edges = _scored(spark, d).filter("weight >= 5").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    keep = lambda df: df.persist()  # noqa: E731  small per iteration; recomputed from lineage if an executor is lost
-    out = L.connected(edges, nodes, keep)
+    out = L.connected(edges, nodes, cut)
     size = out.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("members"))
     return out.join(size, F.col("label") == F.col("_l")).select(F.col("node").alias("id"), F.col("label").alias("entity"), "members")
 

@@ -7,6 +7,7 @@ from granary.functions import geo as G
 from granary.functions import text as T
 from granary.operators import clusters, decode, places
 from granary.operators import linkage as L
+from granary.operators.lineage import cut
 from granary.plans.linkage_queries import _scored
 from granary.plans.registry import query
 from granary.plans.tables import points, sql_km, sql_points, table
@@ -15,10 +16,10 @@ C, S = sql_points("customer", "c_custkey"), sql_points("supplier", "s_suppkey")
 
 
 def _clusters(spark, d):
-    """Links of the scored pairs and the components of those from 5 bits on; small tables of the tests are kept in memory."""
-    links = _scored(spark, d).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "weight").persist()
+    """Links of the scored pairs, written once, and the components of those from 5 bits on."""
+    links = cut(_scored(spark, d).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "weight"))
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    return links, L.connected(links.filter("weight >= 5"), nodes, lambda df: df.persist())
+    return links, L.connected(links.filter("weight >= 5"), nodes, cut)
 
 
 @query("lnk_average_linkage")
