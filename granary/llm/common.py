@@ -63,6 +63,11 @@ def free(since: int) -> None:
     del _written[since:-1]
 
 
+def discard(at: int) -> None:
+    """Delete the table that materialize() wrote as number `at`, counted as mark() does, when all that reads it is written."""
+    _delete(*_written[at])
+
+
 def release() -> None:
     """Delete every table that materialize() wrote in this process; results that read them end here."""
     while _written:

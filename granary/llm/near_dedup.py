@@ -14,14 +14,14 @@ of near copies costs a few comparisons a member. Similarities are those of the w
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import as_text, documents, free, mark, materialize
+from granary.llm.common import as_text, discard, documents, free, mark, materialize
 from granary.llm.hashing import U, groups, mix, shingles
 
 BANDS, ROWS = 24, 5
@@ -186,8 +186,11 @@ def _overlap_bounds(far: DataFrame, buckets: DataFrame, sets: DataFrame) -> Data
     return far.join(sizes, F.col("uid") == F.col("_uid")).drop("_uid")
 
 
-def links(signatures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(representatives, links between them, their labels). signatures: a written table of signed() with uid."""
+def links(signatures: DataFrame, read: Callable[[], None] = lambda: None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(representatives, links between them, their labels). signatures: a written table of signed() with uid.
+
+    read is called when signatures are not needed any more.
+    """
     chosen = materialize(signatures.filter(F.size("bands") > 0).groupBy("digest").agg(F.min("uid").alias("rep")), "representatives")
     keep = chosen.select(F.col("rep").alias("uid"))
     banded = signatures.join(keep, "uid", "left_semi").select("uid", F.explode("bands").alias("key"))
@@ -198,6 +201,7 @@ def links(signatures: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Ids and pairs are written before they are joined, so that Spark knows whether they are small.
     ids = materialize(members.select("uid").distinct(), "member-ids")
     sets = materialize(signatures.select("uid", "regions").join(ids, "uid", "left_semi"), "sets")
+    read()
     seen = materialize(similarities(pairs, sets), "similarities")
     found = seen.filter(_similar()).select("a", "b")
     labels = components(found)
@@ -245,9 +249,11 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", we
     rows give no rows; further columns are not read.
     """
     table = materialize(signed(docs, text, doc_id, weighted).withColumn("uid", F.monotonically_increasing_id()), "signatures")
-    chosen, _, labels = links(table)
+    at = mark() - 1
+    rows = materialize(table.select("doc_id", "uid", F.when(F.size("bands") > 0, F.col("digest")).alias("digest")), "signed-rows")
+    chosen, _, labels = links(table, lambda: discard(at))
     named = _with_labels(chosen, labels, "rep", "label").select(F.col("digest").alias("_digest"), "label")
-    rows = table.select("doc_id", "uid", F.when(F.size("bands") > 0, F.col("digest")).alias("digest")).join(named, F.col("digest") == F.col("_digest"), "left")
+    rows = rows.join(named, F.col("digest") == F.col("_digest"), "left")
     rows = materialize(rows.select("doc_id", "uid", F.coalesce("label", "uid").alias("label")), "classes")
     first = F.max(F.struct(F.bitwise_not("doc_id").alias("d"), F.bitwise_not("uid").alias("u")))
     top = rows.groupBy(F.col("label").alias("_label")).agg(first.alias("top"), F.count(F.lit(1)).alias("class_size"))
