@@ -5,15 +5,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def blocking_pairs(df: DataFrame, keys: Column, order: str, largest: int) -> DataFrame:
-    """Unordered pairs (lo, hi) that share any key; blocks larger than `largest` give no pairs, as dropped_keys tells.
-
-    The size of a block is known before any pair of it is made, so a crowded key costs a count.
+def blocking_pairs(df: DataFrame, keys: Column, order: str, largest: int | None = None) -> DataFrame:
+    """Unordered pairs (lo, hi) that share any key. With `largest`, larger blocks give no pairs, as dropped_keys tells of
+    the same keys; without it none is left out, and a block of n rows costs n * (n - 1) / 2 pairs.
     """
     each = df.select(F.col(order).alias("_id"), F.explode(F.array_distinct(keys)).alias("_key"))
-    fits = each.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n").between(2, largest)).select("_key")
-    kept = each.join(fits, "_key")
-    a, b = kept.alias("a"), kept.alias("b")
+    if largest is not None:  # the size of a block is known before any pair of it is made
+        fits = each.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n").between(2, largest)).select("_key")
+        each = each.join(fits, "_key")
+    a, b = each.alias("a"), each.alias("b")
     return a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._id") < F.col("b._id"))).select(F.col("a._id").alias("lo"), F.col("b._id").alias("hi")).distinct()
 
 

@@ -56,3 +56,17 @@ def test_closure_stops_at_cycles(spark):
 
     p = spark.createDataFrame([(1, 2), (2, 1), (3, -1), (4, 99)], "id long, parent_id long")
     assert {(r["id"], r["ancestor"], r["depth"]) for r in closure(p).collect()} == {(1, 1, 0), (1, 2, 1), (2, 2, 0), (2, 1, 1), (3, 3, 0), (4, 4, 0)}
+
+
+def test_blocks_of_any_size_give_all_pairs(spark, tmp_path):
+    from granary.operators.linkage import blocking_pairs, dropped_keys
+    from granary.plans.linkage_queries import _keys
+
+    rows = [(i, f"Red {'blue' if i % 3 else 'tan'}", 7 if i < 60 else i) for i in range(70)] + [(70, None, 7)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = [(r["lo"], r["hi"]) for r in registry.queries()["lnk_blocking"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    capped = {(r["lo"], r["hi"]) for r in blocking_pairs(part, _keys(), "p_partkey", 40).collect()}
+    assert {(r["key"], r["n"]) for r in dropped_keys(part, _keys(), 40).collect()} == {("red7", 60)}
+    assert capped == {(a, b) for a, b in got if a % 3 and b % 3 or not (a % 3 or b % 3)}
