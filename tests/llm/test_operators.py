@@ -253,6 +253,16 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_confirms_every_notice_of_a_block():
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    for line, name in (("Released under the MIT License.", "MIT"), ("All rights reserved.", "Proprietary"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"), ("ALL RIGHTS RESERVED.", "Proprietary")):
+        assert sorted(x[0] for x in license_scan.identify(f"{gpl}\n{line}")) == sorted(["GPL-3.0", name])
+    every = [(name, t) for name, texts in license_scan.NOTICES.items() for t in texts]
+    block = "\n".join(t for _, t in every)
+    assert Counter(x[:2] for x in license_scan.identify(block)) == Counter(every)
+    assert [x[0] for x in license_scan.identify("All rights reserved. x All rights reserved.")] == ["Proprietary"] * 2
+
+
 def test_quality_classifier_held_out(spark, docs, empty):
     directory = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{directory}/labels.parquet").toPandas()
