@@ -263,6 +263,25 @@ def test_license_scan_confirms_every_notice_of_a_block():
     assert [x[0] for x in license_scan.identify("All rights reserved. x All rights reserved.")] == ["Proprietary"] * 2
 
 
+def test_license_scan_reads_wrapped_notices(spark):
+    r = random.Random(2)
+    rows, want = [], set()
+    for name, texts in license_scan.NOTICES.items():
+        for text in texts:
+            words = text.split()
+            for k, (prefix, width) in enumerate([("", 1), ("", 3), (" * ", 4), ("# ", 7), ("    ", 11), ("", 99)]):
+                lines = "\n".join(prefix + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+                other = [" ".join(r.choice(["stone", "river", "cloud"]) for _ in range(r.randint(0, 80))) for _ in "ab"]
+                rows.append((len(rows), f"{other[0]}\n{lines}\n{other[1]}"))
+                want.add((rows[-1][0], name, text))
+    many = "\n".join(["Released under the MIT License. a b c d e f"] * 200)
+    rows.append((-1, many))
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(g["doc_id"], g["license"], g["notice"]) for g in got if g["doc_id"] >= 0} == want
+    assert all(g["exact"] for g in got) and len({g["start"] for g in got if g["doc_id"] == -1}) == len(got) - len(want) == 200
+    assert license_scan.REACH >= max(1.1 * len(license_scan.wording(t)) for texts in license_scan.NOTICES.values() for t in texts)
+
+
 def test_quality_classifier_held_out(spark, docs, empty):
     directory = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{directory}/labels.parquet").toPandas()
