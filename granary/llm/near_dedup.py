@@ -89,9 +89,10 @@ def unit_regions(of: np.ndarray, elements: np.ndarray, weighted: bool) -> tuple[
 SIGNED = "doc_id long, regions array<int>, digest binary, bands array<long>"
 
 
-def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = False, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """doc_id, regions (32 bits of the hash of every element), a digest of the set, and a hash for each band."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_text(text).alias("text"))
+def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = False, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, name: Column | None = None) -> DataFrame:
+    """doc_id, regions (32 bits of the hash of every element), a digest of the set, a hash for each band, and name."""
+    names = [] if name is None else ["name"]
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_text(text).alias("text"), *[name.alias(c) for c in names])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +116,10 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((cells >> U(32)).astype(np.uint32).view(np.int32))),
                     pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * 16).tobytes()), pa.py_buffer(digest)]),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]), pa.int32()), pa.array(keys[size > 0].reshape(-1))),
-                ], names=["doc_id", "regions", "digest", "bands"])
+                    *[batch.column(c).slice(at, n) for c in names],
+                ], names=["doc_id", "regions", "digest", "bands", *names])
 
-    return slim.mapInArrow(sign, SIGNED)
+    return slim.mapInArrow(sign, SIGNED + "".join(f", {c} binary" for c in names))
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -240,41 +242,51 @@ def links(signatures: DataFrame, read: Callable[[], None] = lambda: None) -> tup
         leaders *= 8
 
 
-def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = False) -> DataFrame:
+def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", weighted: bool = False, name: Column | None = None) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size, kept (one row of each class).
 
     Classes are the connected components of the links of similarity 0.8 or more between sets of five-word windows, by
     whole texts; a text of fewer words is one window, and one without words (null, empty) is a class of its own. With
     weighted, windows count as often as they occur. The least doc_id stays (null last), of repeated rows the first. No
-    rows give no rows; further columns are not read.
+    rows give no rows; further columns are not read. A name, binary and of each row, is given back as a column.
     """
-    table = materialize(signed(docs, text, doc_id, weighted).withColumn("uid", F.monotonically_increasing_id()), "signatures")
+    names = [] if name is None else ["name"]
+    table = materialize(signed(docs, text, doc_id, weighted, name=name).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     at = mark() - 1
-    rows = materialize(table.select("doc_id", "uid", F.when(F.size("bands") > 0, F.col("digest")).alias("digest")), "signed-rows")
+    rows = materialize(table.select("doc_id", "uid", F.when(F.size("bands") > 0, F.col("digest")).alias("digest"), *names), "signed-rows")
     chosen, _, labels = links(table, lambda: discard(at))
     named = _with_labels(chosen, labels, "rep", "label").select(F.col("digest").alias("_digest"), "label")
     rows = rows.join(named, F.col("digest") == F.col("_digest"), "left")
-    rows = materialize(rows.select("doc_id", "uid", F.coalesce("label", "uid").alias("label")), "classes")
+    rows = materialize(rows.select("doc_id", "uid", F.coalesce("label", "uid").alias("label"), *names), "classes")
     first = F.max(F.struct(F.bitwise_not("doc_id").alias("d"), F.bitwise_not("uid").alias("u")))
     top = rows.groupBy(F.col("label").alias("_label")).agg(first.alias("top"), F.count(F.lit(1)).alias("class_size"))
     top = materialize(top, "class-tops")  # so that a class of many rows can be split in the join
     out = rows.join(top, F.col("label") == F.col("_label"))
-    return out.select("doc_id", F.bitwise_not("top.d").alias("class_id"), "class_size", (F.col("uid") == F.bitwise_not("top.u")).alias("kept"))
+    return out.select("doc_id", F.bitwise_not("top.d").alias("class_id"), "class_size", (F.col("uid") == F.bitwise_not("top.u")).alias("kept"), *names)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns. doc_id names rows; of rows that repeat one, one stays."""
+    """The rows of docs that stay, with all their columns: those that near_classes keeps.
+
+    Decisions are carried back by doc_id; where a doc_id repeats (a null one too), by doc_id and digest of the text, and
+    of rows that repeat both one is taken.
+    """
     since = mark()
-    classes = materialize(near_classes(docs, text, doc_id).select(F.col("doc_id").alias("_id"), "kept"), "near-kept")
-    free(since)
-    if classes.groupBy("_id").count().filter("count > 1").isEmpty():
+    if docs.groupBy(doc_id).count().filter("count > 1").isEmpty():
+        classes = materialize(near_classes(docs, text, doc_id).select(F.col("doc_id").alias("_id"), "kept"), "near-kept")
+        free(since)
         # Few rows go: their ids are the small side, which Spark broadcasts if it is small enough.
         gone = materialize(classes.filter(~F.col("kept")).select("_id"), "near-gone")
         return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
-    kept = classes.filter("kept")
-    if not kept.groupBy("_id").count().filter("count > 1").isEmpty():
-        raise ValueError("near copies can't be told apart: doc_id repeats with different texts")
-    return docs.join(kept.select("_id"), F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([doc_id])
+    digest = F.unhex(F.sha2(as_text(text), 256))
+    classes = near_classes(docs, text, doc_id, name=digest).groupBy(F.col("doc_id").alias("_id"), F.col("name").alias("_digest"))
+    stay = F.sum(F.col("kept").cast("int"))
+    gone = materialize(classes.agg(F.count(F.lit(1)).alias("_n"), stay.alias("_stay")).filter("_stay < _n"), "near-gone")
+    free(since)
+    rows = docs.withColumn("_own_digest", digest)
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
+    one = rows.join(gone.filter("_stay > 0"), same, "left_semi").dropDuplicates([doc_id, "_own_digest"])
+    return rows.join(gone, same, "left_anti").unionByName(one).drop("_own_digest")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,3 +302,27 @@ def test_pipeline_stages(spark, docs, empty):
         if name != "packing":
             assert x.columns == docs.columns
     assert x.count() > 0
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    say = lambda k: " ".join("".join(r.choice("klmnopqr") for _ in range(4)) for _ in range(k))
+    odd = [(None, say(90), "en", "s1", 0, "x", 1, 2), (None, say(90), "en", "s1", 0, "x", 1, 2), (11, say(90), "de", "s2", 0, "x", 1, 2), (40, say(90), "de", "s2", 0, "x", 1, 2)]
+    odd += [(None, odd[0][1] + " more", "en", "s1", 0, "x", 1, 2), (21, "", "en", "s1", 0, "x", 1, 2)]
+    rows = [*ROWS, *odd]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    got = Counter((x["doc_id"], x["text"]) for x in near_dedup.drop_near_copies(docs).collect())
+    want = Counter((x[0], x[1]) for x in rows)
+    # Copies and near copies of 2, 10 and 30 go; one of the null ids' near copies does, whichever comes first.
+    for x in [*[(i, ROWS[i][1]) for i in (3, 4, 5, 6, 11, 12, 13)], (30, ROWS[30][1]), (30, ROWS[30][1])]:
+        want[x] -= 1
+    first, more = (None, odd[0][1]), (None, odd[4][1])
+    assert got[first] + got[more] == 1
+    want[first], want[more] = got[first], got[more]
+    assert got == +want
+    x = docs
+    for name, stage in corpus_pipeline.STAGES:
+        x = near_dedup.materialize(stage(spark, x, ""), "test")
+    assert {11, 40, None} <= {g["doc_id"] for g in x.select("doc_id").distinct().collect()}
