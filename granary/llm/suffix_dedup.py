@@ -1,13 +1,14 @@
-"""Removal of passages that repeat anywhere, by longest previous factors over a sparse, distributed suffix order.
+"""Removal of passages that repeat anywhere, by fingerprints of the windows around content-chosen anchors.
 
-A suffix array of all bytes would move a row per byte. Here only sampled suffixes move: in every window of LENGTH bytes
+This stands in place of longest previous factors: no suffix is sorted, and no LPF array, nor previous or next smaller
+values, are computed. A suffix array of all bytes would move a row per byte; what LPF over anchored suffixes alone would
+cost was not measured. Here only sampled places move: in every window of LENGTH bytes
 the GRAM-byte string of least hash is its anchor, which depends on the window's content alone, so equal windows have
-equal anchors at equal offsets; about one byte in a hundred begins one. Suffixes that begin with equal anchors are
-neighbours in suffix order (by fingerprint instead of by alphabet), and the windows around them are compared in three
+equal anchors at equal offsets; about one byte in a hundred begins one. Places that begin with equal anchors meet by
+fingerprint, in no order, and the windows around them are compared in three
 steps: the whole run of windows that an anchor stands for; blocks of BLOCK windows, by their union (equal: all repeat)
 and their core, the bytes that all of them hold (unique: none repeats); and, in blocks where neither decides, window by
-window. Of equal windows, the least place is the first factor; the others have a previous factor of LENGTH bytes or
-more. Windows are told apart by two independent 64-bit fingerprints.
+window. Of equal windows, the least place is the first; the others repeat LENGTH bytes or more of it. Windows are told apart by two independent 64-bit fingerprints.
 
 Each step is an aggregation with map-side sums and a join that Spark may split, so a passage that a third of all
 documents share meets in no task. Documents are keyed by the digest of their text: copies are decided once.
