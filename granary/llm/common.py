@@ -35,6 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: While a table is written, Arrow batches hold so many rows or bytes at most, which bounds what a Python worker and its
+#: executor hold at once; long texts come alone.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: After a table of so many bytes, the driver collects garbage: only then does Spark drop the shuffle files behind it.
+TIDY = 16 << 20
+
+
+def _length(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, lost executors lose nothing."""
     spark = df.sparkSession
@@ -42,7 +54,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    if _length(spark, path) >= TIDY:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -42,10 +42,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(data: np.ndarray, seed: int = 0) -> np.ndarray:
-    """s[i] is the sum of code * BASE ** place over the first i bytes."""
+    """s[i] is the sum of code * BASE ** place over the first i symbols: bytes, or words given by their hashes."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(byte_codes(seed)[data] * up, out=out[1:])
+    codes = byte_codes(seed)[data] if data.dtype == np.uint8 else mix(data + U(seed) * BASE)
+    np.cumsum(codes * up, out=out[1:])
     return out
 
 
@@ -92,6 +93,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, offsets of the texts among them)."""
+    of, starts, ends = words(data, offsets)
+    each = mix(span_hashes(prefix_sums(data), starts, ends)) if len(of) else np.zeros(0, U)
+    return each, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(offsets) - 1))])
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text's number, hash) of every window of `size` words; a shorter text with words is one window of all of them."""
     of, starts, ends = words(data, offsets)

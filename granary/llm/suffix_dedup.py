@@ -1,34 +1,62 @@
-"""Removal of passages that repeat anywhere, by fingerprints of the windows around content-chosen anchors.
-
-This stands in place of longest previous factors: no suffix is sorted, and no LPF array, nor previous or next smaller
-values, are computed. A suffix array of all bytes would move a row per byte; what LPF over anchored suffixes alone would
-cost was not measured. Here only sampled places move: in every window of LENGTH bytes
-the GRAM-byte string of least hash is its anchor, which depends on the window's content alone, so equal windows have
-equal anchors at equal offsets; about one byte in a hundred begins one. Places that begin with equal anchors meet by
-fingerprint, in no order, and the windows around them are compared in three
-steps: the whole run of windows that an anchor stands for; blocks of BLOCK windows, by their union (equal: all repeat)
-and their core, the bytes that all of them hold (unique: none repeats); and, in blocks where neither decides, window by
-window. Of equal windows, the least place is the first; the others repeat LENGTH bytes or more of it. Windows are told apart by two independent 64-bit fingerprints.
-
-Each step is an aggregation with map-side sums and a join that Spark may split, so a passage that a third of all
-documents share meets in no task. Documents are keyed by the digest of their text: copies are decided once.
+"""Removal of passages that repeat anywhere, by longest previous factors over a sparse suffix order.
+
+A suffix order of every byte would move hundreds of bytes per byte, so texts meet at anchors: in every window of `length`
+symbols the `gram` symbols of least hash are its anchor, which depends on the window's content alone, so equal windows
+have equal anchors at equal offsets. About one byte in a hundred begins one. An anchor stands for a run of windows, and
+
+* runs that are equal as wholes (two independent 64-bit fingerprints) repeat; of equal runs one goes on;
+* the text around the remaining anchors of equal gram meets in one task, where its suffixes are put in order by content.
+  The longest previous factor of each comes from its previous and next smaller positions in that order; a window whose
+  factor is `length` long repeats. Tasks take such groups in chunks of bounded size;
+* grams around which more than GROUP different runs remain (a passage of a great many documents) never meet in one task:
+  their windows are counted by fingerprints instead, first in blocks of windows, by their union (equal: all repeat)
+  and their core, the symbols that all hold (unique: none repeats), and window by window where neither decides.
+
+Each counting step is an aggregation with map-side sums and a join that Spark may split. Documents are keyed by the
+digest of their text: copies are decided once. Symbols are bytes, or words by 64-bit hashes.
 """
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import as_text, documents, materialize
-from granary.llm.hashing import U, groups, mix, prefix_sums, span_hashes
+from granary.llm.common import as_text, discard, documents, mark, materialize
+from granary.llm.hashing import U, groups, mix, prefix_sums, span_hashes, word_hashes
+from granary.llm.suffix_order import longest_factors
 
 LENGTH = 400
 GRAM = 200
 BLOCK = 15
+#: Runs that may meet in one task for one gram; beyond it windows are counted. About 600 bytes each.
+GROUP = 256
+#: Windows that a task puts in order together, but for a larger group.
+WINDOWS = 1 << 15
+#: A passage is a run of more than so many words.
+PASSAGE = 50
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What a window is: so many bytes, or so many words."""
+
+    words: bool
+    length: int
+    gram: int
+    block: int
+
+    def read(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the first text, symbols, offsets) of texts that are worked on together."""
+        for i, data, offsets in groups(texts):
+            yield (i, *word_hashes(data, offsets)) if self.words else (i, data, offsets)
+
+    def least_bytes(self) -> int:
+        return 2 * self.length - 1 if self.words else self.length
 
 
 def _sliding(x: np.ndarray, width: int, f: np.ufunc, rest: int) -> np.ndarray:
@@ -44,7 +72,7 @@ def _sliding(x: np.ndarray, width: int, f: np.ufunc, rest: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text's number, place of the anchor, hash, lo, hi): the anchor's windows start lo to hi bytes before it."""
+    """(text's number, place of the anchor, hash, lo, hi): the anchor's windows start lo to hi symbols before it."""
     n, width = len(data), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
@@ -71,25 +99,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return np.searchsorted(offsets, at, side="right") - 1, at, h[at], lo, hi
 
 
-ANCHORED = "digest binary, hash array<long>, run array<long>, place array<int>, lo array<int>, hi array<int>"
+ANCHORED = "digest binary, n int, hash array<long>, run array<long>, place array<int>, lo array<int>, hi array<int>"
 
 
-def _lists(of: np.ndarray, n: int, columns: list[pa.Array]) -> list[pa.Array]:
-    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]), pa.int32())
-    return [pa.ListArray.from_arrays(ends, c) for c in columns]
+def anchored(slim: DataFrame, unit: Unit) -> DataFrame:
+    """For each text: how many symbols it has, and its anchors with a fingerprint of the run of windows of each."""
 
-
-def anchored(slim: DataFrame, length: int, gram: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data, offsets in groups(batch.column("text")):
-                of, at, h, lo, hi = anchors(data, offsets, length, gram)
+            for i, data, offsets in unit.read(batch.column("text")):
+                of, at, h, lo, hi = anchors(data, offsets, unit.length, unit.gram)
                 order = np.lexsort((at, of))
                 of, at, h, lo, hi = (x[order] for x in (of, at, h, lo, hi))
-                second = prefix_sums(data, 1)
-                run = mix(span_hashes(second, at - hi, at - lo + length) ^ mix((lo * (length + 1) + hi).astype(U)))
-                lists = _lists(of, len(offsets) - 1, [pa.array(h.view(np.int64)), pa.array(run.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (at - offsets[of], lo, hi)]])
-                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(i, len(offsets) - 1), *lists], names=["digest", "hash", "run", "place", "lo", "hi"])
+                run = mix(span_hashes(prefix_sums(data, 1), at - hi, at - lo + unit.length) ^ mix((lo * (unit.length + 1) + hi).astype(U)))
+                n = len(offsets) - 1
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]), pa.int32())
+                columns = [h.view(np.int64), run.view(np.int64), *[x.astype(np.int32) for x in (at - offsets[of], lo, hi)]]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(i, n), pa.array(np.diff(offsets), pa.int32()), *lists], names=["digest", "n", "hash", "run", "place", "lo", "hi"])
 
     return slim.mapInArrow(find, ANCHORED)
 
@@ -102,15 +129,100 @@ def _flat(batch: pa.RecordBatch, column: str, i: int, n: int) -> tuple[np.ndarra
     return of, {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
 
 
-def block_prints(found: DataFrame, length: int, block: int) -> DataFrame:
-    """For each block of windows of each anchor that must be told apart: the prints of its core and of its union."""
+def snippets(found: DataFrame, unit: Unit) -> DataFrame:
+    """The symbols of all windows of each anchor that must be told apart, in one piece."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data, offsets in unit.read(batch.column("text")):
+                of, x = _flat(batch, "marks", i, len(offsets) - 1)
+                keep = x["tell"].astype(bool) & ~x["hot"].astype(bool)
+                of, x = of[keep], {k: v[keep] for k, v in x.items()}
+                a = x["place"] - x["hi"] + offsets[of]
+                b = x["place"] - x["lo"] + unit.length + offsets[of]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("id").take(pa.array(i + of)), pa.array(x["hash"]), pa.array((x["place"] - x["hi"]).astype(np.int32)),
+                    pa.array([data[p:q].tobytes() for p, q in zip(a, b, strict=True)], pa.binary()),
+                    batch.column("owner").take(pa.array(i + of)), batch.column("digest").take(pa.array(i + of)),
+                ], names=["id", "hash", "start", "piece", "owner", "digest"])
+
+    return found.select("id", "owner", "digest", "text", "marks").mapInArrow(cut, "id long, hash long, start int, piece binary, owner long, digest binary")
+
+
+def _spans(group: pa.Table, unit: Unit, keep_first: bool, across: bool) -> pa.RecordBatch:
+    """The spans of the windows that repeat among whole groups of pieces."""
+    pieces = group.column("piece").combine_chunks()
+    size = 8 if unit.words else 1
+    ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+    symbols = np.frombuffer(pieces.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    symbols = symbols.copy().view(np.uint64) if unit.words else symbols
+    ends = (ends - ends[0]) // size
+    many = np.diff(ends) - unit.length + 1
+    row = np.repeat(np.arange(len(many)), many)
+    back = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    ids, owner = group.column("id").to_numpy(), group.column("owner").to_numpy()
+    start = group.column("start").to_numpy()[row] + back
+    order = np.lexsort((start, ids[row]))
+    once = np.ones(len(order), bool)  # a window in which two equal grams tie is in two pieces
+    once[1:] = (np.diff(start[order]) != 0) | (np.diff(ids[row][order]) != 0)
+    order = order[once]
+    row, start, first = row[order], start[order], (ends[row] + back)[order]
+    if across:
+        place = np.unique(owner, return_inverse=True)[1][row]
+    else:
+        digests = np.array(group.column("digest").to_pylist(), dtype="S32")
+        place = np.unique(np.rec.fromarrays([owner, digests]), return_inverse=True)[1].reshape(-1)[row] << 32 | start
+    gone = longest_factors(symbols, first, place.astype(np.int64), unit.length, not keep_first) >= unit.length
+    i, a = ids[row][gone], start[gone]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (i[1:] != i[:-1]) | (a[1:] > a[:-1] + unit.length)
+    begins = np.flatnonzero(fresh)
+    last = np.append(begins[1:], len(a))[: len(begins)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(i[begins]), pa.array(a[begins].astype(np.int32)), pa.array((a[last] + unit.length).astype(np.int32))], names=["id", "start", "end"])
+
+
+def repeated_windows(pieces: DataFrame, unit: Unit, keep_first: bool, across: bool) -> DataFrame:
+    """Spans of the windows that repeat, from pieces whose windows all meet: those of equal hash, in suffix order."""
+
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(upto: pa.Table) -> Iterator[pa.RecordBatch]:
+            hashes = upto.column("hash").to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(hashes) != 0) + 1, len(hashes))
+            room, a = max(1, WINDOWS // (unit.length - unit.gram + 1)), 0
+            for k, b in enumerate(edges):  # as many groups at once as make up about WINDOWS windows
+                if b - a >= room or k == len(edges) - 1:
+                    yield _spans(upto.slice(a, b - a), unit, keep_first, across)
+                    a = b
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            hashes = batch.column("hash").to_numpy()
+            if hashes[0] == hashes[-1] and (len(held) == 1 or held[-2].column("hash")[-1].as_py() == hashes[0]):
+                continue
+            table = pa.Table.from_batches(held)
+            cut = len(table) - int((hashes == hashes[-1]).sum())
+            yield from done(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return pieces.repartition("hash").sortWithinPartitions("hash").mapInArrow(whole_groups, "id long, start int, end int")
+
+
+def block_prints(found: DataFrame, unit: Unit) -> DataFrame:
+    """For each block of windows of each anchor of a hot gram: the prints of its core and of its union."""
+    length, block = unit.length, unit.block
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for i, data, offsets in groups(batch.column("text")):
+            for i, data, offsets in unit.read(batch.column("text")):
                 of, x = _flat(batch, "marks", i, len(offsets) - 1)
-                keep = x["tell"].astype(bool)
+                keep = x["tell"].astype(bool) & x["hot"].astype(bool)
                 of, x = of[keep], {k: v[keep] for k, v in x.items()}
                 if not len(of):
                     continue
@@ -133,13 +245,14 @@ def block_prints(found: DataFrame, length: int, block: int) -> DataFrame:
     return found.mapInArrow(prints, "id long, hash long, place int, block int, lo int, hi int, core long, union long")
 
 
-def window_prints(found: DataFrame, length: int, block: int) -> DataFrame:
+def window_prints(found: DataFrame, unit: Unit) -> DataFrame:
     """The print of every window of the blocks in `open`."""
+    length, block = unit.length, unit.block
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for i, data, offsets in groups(batch.column("text")):
+            for i, data, offsets in unit.read(batch.column("text")):
                 of, x = _flat(batch, "open", i, len(offsets) - 1)
                 if not len(of):
                     continue
@@ -157,7 +270,109 @@ def window_prints(found: DataFrame, length: int, block: int) -> DataFrame:
     return found.mapInArrow(prints, "id long, hash long, start int, window long")
 
 
-def _removed(found: DataFrame) -> DataFrame:
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with the columns of b of equal keys."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & (a[k] == b[f"_{k}"])
+    return a.join(b, on).drop(*[f"_{k}" for k in keys])
+
+
+def _counted(df: DataFrame, keys: list[str], prefix: str, across: bool) -> DataFrame:
+    """How often each combination of keys occurs, the first place where it does, and whether it repeats."""
+    many = F.min("owner") < F.max("owner") if across else F.count(F.lit(1)) > 1
+    some = [F.count(F.lit(1)).alias(f"{prefix}_n"), F.min("at").alias(f"{prefix}_first"), F.max("at").alias(f"{prefix}_last"), many.alias(f"{prefix}_many")]
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*some)
+
+
+def _hot_spans(found: DataFrame, unit: Unit, keep_first: bool, across: bool) -> DataFrame:
+    """Spans of the windows of hot grams that repeat, by counting fingerprints."""
+    own = found.select(F.col("id").alias("_id"), "owner", "digest")
+    where = lambda place: F.struct("owner", "digest", F.col(place).alias("place")) if keep_first else F.struct("id", F.col(place).alias("place"))
+    named = (lambda df: _same(df, own, ["id"])) if keep_first or across else (lambda df: df)
+    blocks = block_prints(found.filter(F.exists("marks", lambda m: m["tell"] & m["hot"])).select("id", "text", "marks"), unit)
+    blocks = materialize(named(blocks).withColumn("at", where("place")), "blocks")
+    cores = _counted(blocks, ["hash", "block", "core"], "core", across).filter("core_many")
+    unions = _counted(blocks.filter("union is not null"), ["hash", "block", "union"], "union", across).filter("union_many")
+    told = _same(blocks, cores, ["hash", "block", "core"])
+    on = (told["hash"] == unions["_hash"]) & (told["block"] == unions["_block"]) & (told["union"] == unions["_union"])
+    told = told.join(unions, on, "left").drop("_hash", "_block", "_union")
+    earlier = (lambda c: F.col(f"{c}_first") < F.col("at")) if keep_first else (lambda c: F.lit(True))
+    whole = F.coalesce(F.col("union_many") & earlier("union"), F.lit(False))
+    told = materialize(told.select("id", "hash", "place", "block", "lo", "hi", "core", whole.alias("whole"), (F.col("at") == F.col("union_first")).alias("mine")), "told-blocks")
+    block, length = unit.block, unit.length
+    spans = told.filter("whole").select("id", (F.col("place") - F.col("block") * block - (block - 1)).alias("start"), (F.col("place") - F.col("block") * block + length).alias("end"))
+    # Where windows must be told one by one, those of blocks that repeat whole are there to be met: one block of each
+    # kind, or where documents must differ, each.
+    unclear = told.filter("not whole").groupBy(*[F.col(k).alias(f"_{k}") for k in ("hash", "block", "core")]).agg(F.count(F.lit(1)).alias("unclear"))
+    met = told.filter("whole" if across else "whole and mine")
+    open_ = told.filter("not whole").unionByName(_same(met, unclear, ["hash", "block", "core"]).drop("unclear"))
+    open_ = open_.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("hash", "place", "block", "lo", "hi")).alias("open"))
+    windows = window_prints(_same(found.select("id", "text"), open_, ["id"]).select("id", "text", "open"), unit)
+    # A window in which two equal grams tie has two anchors, but is one window.
+    windows = materialize(named(windows).withColumn("at", where("start")).dropDuplicates(["id", "hash", "start"]), "windows")
+    again = _counted(windows, ["hash", "window"], "window", across).filter("window_many")
+    again = _same(windows, again, ["hash", "window"]).filter(earlier("window"))
+    return spans.unionByName(again.select("id", "start", (F.col("start") + length).alias("end")))
+
+
+def repeated_spans(slim: DataFrame, copies: DataFrame, unit: Unit, keep_first: bool, across: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts: id, digest, text; spans: id and a list of spans; sizes: digest and n symbols).
+
+    slim: doc_id, text, digest. copies: digest, copies, rep. Of equal texts, one is judged. With `across`, only what
+    stands in two different texts repeats, else also what stands twice in one.
+    """
+    lists = materialize(anchored(slim.filter(F.octet_length("text") >= unit.least_bytes()).select("digest", "text"), unit), "anchors")
+    at_lists = mark() - 1
+    sizes = materialize(lists.select("digest", "n").dropDuplicates(["digest"]), "sizes")
+    if keep_first:
+        lists = _same(lists, copies.select(F.col("digest").alias("_digest"), F.coalesce("rep", F.lit(-(2**63))).alias("owner")), ["digest"])
+    else:
+        lists = lists.withColumn("owner", F.xxhash64("digest"))
+    marks = lists.select("digest", "owner", F.inline(F.arrays_zip("hash", "run", "place", "lo", "hi")))
+    place = F.xxhash64("digest", "place")
+    if across:  # first and last then stand in different texts, if any two do
+        place = F.col("owner").bitwiseAND(F.lit(-(2**32))).bitwiseOR(place.bitwiseAND(F.lit(2**32 - 1)))
+    marks = marks.withColumn("at", F.struct("owner", "digest", "place") if keep_first else place)
+    # Equal texts hold equal anchors: where the first stays they are one text, else each counts.
+    each = marks.dropDuplicates(["digest", "place", "hash"]) if keep_first else marks
+    runs = materialize(_counted(each, ["hash", "run"], "run", across), "runs")
+    at_runs = mark() - 1
+    # How many occurrences go on: of runs that repeat one, of others each.
+    tells = F.sum(F.when(F.col("run_many"), 1).otherwise(F.col("run_n")))
+    per = runs.groupBy(F.col("_hash").alias("_h")).agg(F.sum("run_n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(~F.col("run_many")).alias("lone"), tells.alias("tells")).filter("total > 1")
+    shared = materialize(runs.join(per, F.col("_hash") == F.col("_h")).select("_hash", "_run", "run_first", "run_last", "run_many", (F.col("kinds") > 1).alias("others"), (F.col("lone") > 0).alias("lone"), (F.col("tells") > GROUP).alias("hot")), "shared-runs")
+    at_shared = mark() - 1
+    discard(at_runs)
+    mine = F.col("at") == F.col("run_first")
+    mine = mine | (F.col("at") == F.col("run_last")) if across else mine
+    gone = F.col("run_many") & (~mine if keep_first else F.lit(True))
+    tell = F.col("others") & (mine if keep_first else ~F.col("run_many") | (mine & F.col("lone")))
+    hits = _same(each, shared, ["hash", "run"]).select("digest", F.struct("hash", "place", "lo", "hi", gone.alias("gone"), tell.alias("tell"), "hot").alias("m"))
+    # A set, since copies bring equal marks: it is no larger than one text's.
+    hits = hits.filter("m.gone or m.tell").groupBy(F.col("digest").alias("_digest")).agg(F.collect_set("m").alias("marks"))
+    hits = hits.join(copies, F.col("_digest") == F.col("digest")).drop("digest")
+    if not keep_first:  # copies are decided as wholes, and are read on only to be met by others
+        hits = hits.withColumn("marks", F.when(F.col("copies") > 1, F.filter("marks", lambda m: m["tell"])).otherwise(F.col("marks"))).filter(F.size("marks") > 0)
+    hits = materialize(hits.select("_digest", "rep", "marks"), "hits")
+    at_hits = mark() - 1
+    discard(at_lists)
+    discard(at_shared)
+    found = slim.join(hits, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    owner = F.coalesce("rep", F.lit(-(2**63))) if keep_first else F.xxhash64("digest")
+    found = materialize(found.select("digest", owner.alias("owner"), "text", "marks", F.monotonically_increasing_id().alias("id")), "marked-texts")
+    discard(at_hits)
+    each_mark = found.select("id", F.explode("marks").alias("m"))
+    spans = each_mark.filter("m.gone").select("id", (F.col("m.place") - F.col("m.hi")).alias("start"), (F.col("m.place") - F.col("m.lo") + unit.length).alias("end"))
+    told = materialize(repeated_windows(snippets(found.filter(F.exists("marks", lambda m: m["tell"] & ~m["hot"])), unit), unit, keep_first, across), "repeated-windows")
+    spans = spans.unionByName(told)
+    if not each_mark.filter("m.tell and m.hot").isEmpty():
+        spans = spans.unionByName(_hot_spans(found, unit, keep_first, across))
+    spans = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return found.select("id", "digest", "text"), spans, sizes
+
+
+def _removed(found: DataFrame, with_text: bool) -> DataFrame:
     """The result of each text, from the byte ranges in `spans`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,116 +385,91 @@ def _removed(found: DataFrame) -> DataFrame:
                 np.add.at(depth, x["end"] + offsets[of], -1)
                 gone = np.cumsum(depth)[:-1] > 0
                 for a, b in zip(offsets, offsets[1:], strict=False):
-                    own = gone[a:b]
+                    own, kept = gone[a:b], data[a:b][~gone[a:b]].tobytes()
                     starts = int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum())
-                    out.append((int(own.sum()), starts, hashlib.sha256(data[a:b][~own].tobytes()).digest(), data[a:b][~own].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3].decode("utf-8", "replace") for x in out], pa.string())], names=["digest", "n_removed", "n_spans", "kept_digest", "kept_text"])
+                    out.append((int(own.sum()), starts, hashlib.sha256(kept).digest(), kept.decode("utf-8", "replace") if with_text else ""))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)]], names=["digest", "n_removed", "n_spans", "kept_digest", "kept_text"])
 
     return found.mapInArrow(cut, "digest binary, n_removed long, n_spans long, kept_digest binary, kept_text string")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """a with the columns of b of equal keys."""
-    on = F.lit(True)
-    for k in keys:
-        on = on & (a[k] == b[f"_{k}"])
-    return a.join(b, on).drop(*[f"_{k}" for k in keys])
+def _covered(found: DataFrame) -> DataFrame:
+    """digest, how many symbols its spans cover, and in how many runs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            of, x = _flat(batch, "spans", 0, n)
+            order = np.lexsort((x["start"], of))
+            of = of[order]
+            a, b = (x[k][order].astype(np.int64) + (of << 32) for k in ("start", "end"))
+            before = np.concatenate([[-1], np.maximum.accumulate(b)[:-1]])[: len(b)]
+            symbols = np.bincount(of, weights=np.maximum(0, b - np.maximum(a, before)), minlength=n)
+            runs = np.bincount(of[a > before], minlength=n)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(symbols.astype(np.int64)), pa.array(runs.astype(np.int64))], names=["digest", "symbols", "runs"])
+
+    return found.mapInArrow(count, "digest binary, symbols long, runs long")
 
 
-def _counted(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """How often each combination of keys occurs, and the first place where it does."""
-    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(f"{prefix}_n"), F.min("at").alias(f"{prefix}_first"))
+def _shared(slim: DataFrame, copies: DataFrame, words: int) -> DataFrame:
+    """digest, passage_words and passages of each text that shares a run of more than `words` words with another text.
 
+    A text that another row equals is one passage, if it has as many words.
+    """
+    unit = Unit(True, words + 1, (words + 1) // 2 + 1, 4)
+    found, spans, sizes = repeated_spans(slim, copies, unit, False, True)
+    part = materialize(_covered(_same(found, spans, ["id"]).select("digest", "spans")).dropDuplicates(["digest"]), "covered")
+    many = copies.filter("copies > 1").select(F.col("digest").alias("_digest"))
+    whole = sizes.filter(F.col("n") > words).join(many, F.col("digest") == F.col("_digest")).select("digest", F.col("n").cast("long").alias("symbols"), F.lit(1).cast("long").alias("runs"))
+    part = part.join(many, F.col("digest") == F.col("_digest"), "left_anti")
+    out = part.unionByName(whole).select(F.col("digest").alias("_shared"), F.col("symbols").alias("passage_words"), F.col("runs").alias("passages"))
+    return materialize(out, "shared-passages")
 
-def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, keep_first: bool = False, with_text: bool = False) -> DataFrame:
+
+def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, keep_first: bool = False, with_text: bool = False, words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept text if asked for.
 
     Texts are UTF-8 bytes; a null text is empty. Every byte of a string of `length` bytes that also starts elsewhere, in
-    the same document or another, is removed; with keep_first the string that comes first by (doc_id, place) stays, and
-    of equal texts the least doc_id's (a null doc_id comes first). What repeats is judged on the input. A kept text cut
-    inside a character has a replacement mark there; kept_sha256 is of the bytes. Texts shorter than `length` stay whole.
-    Repeated rows are copies like others; no rows give no rows; further columns are not read.
+    the same document or another, is removed; with keep_first the string that comes first by (doc_id, digest, place)
+    stays, and of equal texts one row of the least doc_id (a null doc_id comes first). What repeats is judged on the
+    input. A kept text cut inside a character has a replacement mark there; kept_sha256 is of the bytes. Texts shorter
+    than `length` stay whole. Repeated rows are copies like others; no rows give no rows; further columns are not read.
+
+    With `words`, also passage_words and passages: how many words stand in runs of more than `words` words that another
+    document holds too, and in how many such runs, whatever their bytes. They are reported and not removed.
     """
     body = as_text(text)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.unhex(F.sha2(body, 256)).alias("digest"))
-    rows = materialize(slim.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b")))
-    copies = rows.filter(F.col("n_bytes") >= length).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), first.getField("b").alias("rep"))
-    copies = materialize(copies, "copies")
-    lists = materialize(anchored(slim.filter(F.octet_length("text") >= length).select("digest", "text"), length, gram), "anchors")
-    if keep_first:
-        source = copies.select(F.col("digest").alias("_digest"), "rep")
-        lists = _same(lists, source, ["digest"])
-        order = F.struct("rep", "place")
-    else:
-        order = F.xxhash64("digest", "place")
-    marks = lists.select("digest", *["rep"] * keep_first, F.inline(F.arrays_zip("hash", "run", "place", "lo", "hi"))).withColumn("at", order)
-    # Equal texts hold equal anchors: with keep_first they are one text, else each counts.
-    each = marks.dropDuplicates(["digest", "place", "hash"]) if keep_first else marks
-    runs = materialize(_counted(each, ["hash", "run"], "run"), "runs")
-    per = runs.groupBy(F.col("_hash").alias("_h")).agg(F.sum("run_n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("run_n") == 1).alias("lone")).filter("total > 1")
-    runs = materialize(runs.join(per, F.col("_hash") == F.col("_h")).drop("_h", "total"), "shared-runs")
-    mine = F.col("at") == F.col("run_first")
-    gone = (F.col("run_n") > 1) & (~mine if keep_first else F.lit(True))
-    tell = (mine & (F.col("kinds") > 1)) if keep_first else ((F.col("run_n") == 1) | (mine & (F.col("lone") > 0)))
-    hits = _same(each, runs, ["hash", "run"]).select("digest", F.struct("hash", "place", "lo", "hi", gone.alias("gone"), tell.alias("tell")).alias("m"))
-    # A set, since copies bring equal marks: it is no larger than one text's.
-    hits = hits.filter("m.gone or m.tell").groupBy(F.col("digest").alias("_digest")).agg(F.collect_set("m").alias("marks"))
-    hits = _same(hits.withColumn("digest", F.col("_digest")).drop("_digest"), copies.withColumnRenamed("digest", "_digest"), ["digest"])
-    hits = hits.select(F.col("digest").alias("_digest"), "rep", "marks")
-    found = slim.join(hits, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "doc_id", "text", "marks")
-    found = materialize(found.withColumn("id", F.monotonically_increasing_id()), "marked-texts")
-
-    place = F.struct("id", "place") if not keep_first else F.struct("doc_id", "place")
-    ids = found.select(F.col("id").alias("_id"), "doc_id")
-    blocks = block_prints(found.filter(F.exists("marks", lambda m: m["tell"])).select("id", "text", "marks"), length, block)
-    if keep_first:
-        blocks = _same(blocks, ids, ["id"])
-    blocks = materialize(blocks.withColumn("at", place), "blocks")
-    cores = _counted(blocks, ["hash", "block", "core"], "core").filter("core_n > 1")
-    unions = _counted(blocks.filter("union is not null"), ["hash", "block", "union"], "union").filter("union_n > 1")
-    told = _same(blocks, cores, ["hash", "block", "core"])
-    on = (told["hash"] == unions["_hash"]) & (told["block"] == unions["_block"]) & (told["union"] == unions["_union"])
-    told = told.join(unions, on, "left").drop("_hash", "_block", "_union")
-    earlier = (lambda c: F.col(f"{c}_first") < F.col("at")) if keep_first else (lambda c: F.lit(True))
-    whole = F.coalesce((F.col("union_n") > 1) & earlier("union"), F.lit(False))
-    told = materialize(told.select("id", "hash", "place", "block", "lo", "hi", "core", whole.alias("whole"), (F.col("at") == F.col("union_first")).alias("mine")), "told-blocks")
-    spans = told.filter("whole").select("id", (F.col("place") - F.col("block") * block - (block - 1)).alias("start"), (F.col("place") - F.col("block") * block + length).alias("end"))
-
-    # Where windows must be told one by one, those of blocks that repeat whole are there to be met: one block of each kind.
-    unclear = told.filter("not whole").groupBy(*[F.col(k).alias(f"_{k}") for k in ("hash", "block", "core")]).agg(F.count(F.lit(1)).alias("unclear"))
-    open_ = told.filter("not whole").unionByName(_same(told.filter("whole and mine"), unclear, ["hash", "block", "core"]).drop("unclear"))
-    open_ = open_.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("hash", "place", "block", "lo", "hi")).alias("open"))
-    windows = window_prints(_same(found.select("id", "text"), open_, ["id"]).select("id", "text", "open"), length, block)
-    if keep_first:
-        windows = _same(windows, ids, ["id"])
-    # A window in which two equal grams tie has two anchors, but is one window.
-    windows = windows.withColumn("at", F.struct("doc_id" if keep_first else "id", F.col("start").alias("place")))
-    windows = materialize(windows.dropDuplicates(["id", "hash", "start"]), "windows")
-    again = _counted(windows, ["hash", "window"], "window").filter("window_n > 1")
-    again = _same(windows, again, ["hash", "window"]).filter(earlier("window"))
-    spans = spans.unionByName(again.select("id", "start", (F.col("start") + length).alias("end")))
-    runs_gone = found.select("id", F.explode("marks").alias("m")).filter("m.gone").select("id", (F.col("m.place") - F.col("m.hi")).alias("start"), (F.col("m.place") - F.col("m.lo") + length).alias("end"))
-    spans = spans.unionByName(runs_gone).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    done = _removed(_same(found.select("id", "digest", "text"), spans, ["id"]).select("digest", "text", "spans"))
+    rows = slim.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("uid"))
+    rows = materialize(rows, "texts")
+    least = length if words is None else min(length, 2 * words + 1)
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("uid").alias("c")))
+    copies = rows.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("bytes"), first.alias("first"))
+    copies = materialize(copies.select("digest", "copies", "bytes", F.col("first.b").alias("rep"), F.col("first.c").alias("rep_uid")), "copies")
+    found, spans, _ = repeated_spans(slim, copies.select("digest", "copies", "rep"), Unit(False, length, gram, block), keep_first, False)
+    done = _removed(_same(found, spans, ["id"]).select("digest", "text", "spans"), with_text)
     done = done if with_text else done.drop("kept_text")
     done = materialize(done.dropDuplicates(["digest"]).withColumnRenamed("digest", "_digest"), "removed")
-
-    many = copies.filter("copies > 1").select(F.col("digest").alias("_copy"), "rep")
+    many = copies.filter((F.col("copies") > 1) & (F.col("bytes") >= length)).select(F.col("digest").alias("_copy"), "rep_uid")
     out = rows.join(done, F.col("digest") == F.col("_digest"), "left").join(many, F.col("digest") == F.col("_copy"), "left")
+    if words is not None:
+        out = out.join(_shared(slim, copies.select("digest", "copies", "rep"), words), F.col("digest") == F.col("_shared"), "left")
     copied = F.col("_copy").isNotNull()
     if keep_first:
-        copied = copied & ~F.col("doc_id").eqNullSafe(F.col("rep"))
+        copied = copied & (F.col("uid") != F.col("rep_uid"))
     nothing = F.unhex(F.sha2(F.lit(""), 256))
-    result = out.select(
+    return out.select(
         "doc_id", "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.lower(F.hex(F.when(copied, nothing).otherwise(F.coalesce("kept_digest", "digest")))).alias("kept_sha256"),
         *([F.when(copied, "").otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
+        *([F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("passage_words", "passages")] if words is not None else []),
     )
-    return result
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(documents(spark, sf_dir))
+    """The contract's columns, and the passages of more than PASSAGE words that other documents hold too: so many words
+    may be fewer than LENGTH bytes, which stay."""
+    return repeated_passages(documents(spark, sf_dir), words=PASSAGE)

@@ -227,7 +227,7 @@ def repeats(rows, length, first):
 
 
 @pytest.mark.parametrize("first", [False, True])
-def test_suffix_dedup(spark, empty, first):
+def test_suffix_dedup(spark, empty, first, monkeypatch):
     r = random.Random(3)
     base = ["".join(r.choice("abcd") for _ in range(150)) for _ in range(6)]
     rows = []
@@ -239,10 +239,64 @@ def test_suffix_dedup(spark, empty, first):
         rows.append((i, t))
     rows[7], rows[50] = (7, rows[6][1]), (50, rows[6][1])
     df = spark.createDataFrame([*rows, (60, None)], "doc_id long, text string")
-    got = suffix_dedup.repeated_passages(df, length=40, gram=20, block=4, keep_first=first).collect()
     want = repeats([(i, t.encode()) for i, t in [*rows, (60, "")]], 40, first)
-    assert {g["doc_id"]: (g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) for g in got} == want
-    assert suffix_dedup.repeated_passages(empty).count() == 0
+    for group in (suffix_dedup.GROUP, 2):  # with 2, most grams are hot: their windows are counted
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        got = suffix_dedup.repeated_passages(df, length=40, gram=20, block=4, keep_first=first).collect()
+        assert {g["doc_id"]: (g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) for g in got} == want
+    assert suffix_dedup.repeated_passages(empty, words=50).count() == 0
+
+
+def test_suffix_dedup_keeps_one_of_repeated_rows(spark):
+    text = "".join(random.Random(1).choices("abcdef", k=60))
+    rows = [(1, text), (1, text), (None, "x" + text), (None, "yy" + text)]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), length=40, gram=20, block=4, keep_first=True).collect()
+    assert sorted(g["n_removed"] for g in got) == [0, 60, 60, 60] and all(g["n_removed"] for g in got if g["doc_id"] == 1)
+
+
+@pytest.mark.parametrize("group", [256, 2])
+def test_shared_passages(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    r = random.Random(4)
+    base = [[r.choice("abc") for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(70):
+        t = []
+        for _ in range(r.randint(0, 4)):
+            x, a = r.choice(base), r.randint(0, 40)
+            t += x[a : a + r.randint(3, 40)] + [f"w{i}", str(r.random())][: r.randint(0, 2)]
+        rows.append((i, r.choice([" ", "\n "]).join(t)))
+    rows[7], rows[50], rows[51] = (7, rows[6][1]), (50, rows[6][1]), (51, " ".join(base[0][:30] + ["v"] + base[0][:30]))
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), words=12).collect()
+    holders = {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 12):
+            holders.setdefault(tuple(w[p : p + 13]), set()).add(i)
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        inside = np.zeros(len(w) + 1, bool)
+        for p in range(len(w) - 12):
+            if len(holders[tuple(w[p : p + 13])]) > 1:
+                inside[p : p + 13] = True
+        want[i] = (int(inside.sum()), int((np.diff(np.concatenate([[0], inside.astype(int)])) == 1).sum()))
+    assert {g["doc_id"]: (g["passage_words"], g["passages"]) for g in got} == want and sum(x > 0 for x, _ in want.values()) > 20
+
+
+def test_longest_factors_by_brute_force():
+    from granary.llm.suffix_order import longest_factors
+
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        n, length = int(r.integers(1, 50)), int(r.integers(1, 8))
+        s, place = r.integers(0, 3, n + length).astype(np.uint8), r.integers(0, n, n + 1)
+        for later in (False, True):
+            got = longest_factors(s, np.arange(n + 1), place, length, later)
+            for i in range(n + 1):
+                others = [j for j in range(n + 1) if (place[j] != place[i] if later else place[j] < place[i])]
+                common = lambda j: next((k for k in range(length) if s[i + k] != s[j + k]), length)
+                assert got[i] == max(map(common, others), default=0)
 
 
 def test_license_scan(spark, empty):
