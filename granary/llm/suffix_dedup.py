@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import as_text, discard, documents, mark, materialize
-from granary.llm.hashing import U, groups, mix, prefix_sums, span_hashes, word_hashes
+from granary.llm.hashing import U, groups, mix, powers, prefix_sums, span_hashes, word_hashes
 from granary.llm.suffix_order import longest_factors
 
 LENGTH = 400
@@ -37,6 +37,8 @@ BLOCK = 15
 GROUP = 256
 #: Windows that a task puts in order together, but for a larger group.
 WINDOWS = 1 << 15
+#: Bytes of texts that are read together: arrays of as many numbers stay in a processor's cache.
+TOGETHER = 1 << 17
 #: A passage is a run of more than so many words.
 PASSAGE = 50
 
@@ -52,12 +54,16 @@ class Unit:
 
     def read(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of the first text, symbols, offsets) of texts that are worked on together."""
-        for i, data, offsets in groups(texts):
+        for i, data, offsets in groups(texts, TOGETHER):
             yield (i, *word_hashes(data, offsets)) if self.words else (i, data, offsets)
 
     def least_bytes(self) -> int:
         return 2 * self.length - 1 if self.words else self.length
 
+    def named(self, h: np.ndarray) -> np.ndarray:
+        """Hashes of words and of bytes are told apart."""
+        return mix(h ^ U(0x6A09E667F3BCC909)) if self.words else h
+
 
 def _sliding(x: np.ndarray, width: int, f: np.ufunc, rest: int) -> np.ndarray:
     """f over x[i : i + width] for every i, in two passes over blocks."""
@@ -77,16 +83,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, np.zeros(0, U), none, none
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    sums = prefix_sums(data)
-    p = np.arange(n - gram + 1)
-    h = mix(span_hashes(sums, p, p + gram)) >> U(1) | U(1)  # neither 0 nor the greatest
-    h[p + gram > ends[: n - gram + 1]] = np.iinfo(U).max
-    least = _sliding(h, width, np.minimum, np.iinfo(U).max)
-    least[np.arange(len(least)) + length > ends[: len(least)]] = 0  # no window of one text
-    most = _sliding(np.concatenate([np.zeros(width - 1, U), least, np.zeros(width - 1, U)]), width, np.maximum, 0)
-    chosen = np.flatnonzero((most[: len(h)] == h) & (h < np.iinfo(U).max))
-    edge = np.flatnonzero(np.diff(least) != 0) + 1
+    top = np.iinfo(U).max
+    sums, (_, down) = prefix_sums(data), powers(n + 1)
+    h = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1]) >> U(1) | U(1)  # neither 0 nor the greatest
+    inner = [(int(a), int(b)) for a, b in zip(offsets[:-1], offsets[1:], strict=True) if a < b]
+    for a, b in inner:
+        h[max(a, b - gram + 1) : b] = top
+    least = _sliding(h, width, np.minimum, top)
+    for a, b in inner:
+        least[max(a, b - length + 1) : b] = 0  # no window of one text
+    edged = np.zeros(len(least) + 2 * width - 2, U)
+    edged[width - 1 : width - 1 + len(least)] = least
+    chosen = np.flatnonzero((_sliding(edged, width, np.maximum, 0)[: len(h)] == h) & (h < top))
+    edge = np.flatnonzero(least[1:] != least[:-1]) + 1
     first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(least)]]) - 1
     real = least[first] > 0
     first, last = first[real], last[real]
@@ -99,24 +108,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return np.searchsorted(offsets, at, side="right") - 1, at, h[at], lo, hi
 
 
-ANCHORED = "digest binary, n int, hash array<long>, run array<long>, place array<int>, lo array<int>, hi array<int>"
+ANCHORED = "digest binary, words boolean, n int, hash array<long>, run array<long>, place array<int>, lo array<int>, hi array<int>"
 
 
-def anchored(slim: DataFrame, unit: Unit) -> DataFrame:
-    """For each text: how many symbols it has, and its anchors with a fingerprint of the run of windows of each."""
+def anchored(slim: DataFrame, units: list[Unit]) -> DataFrame:
+    """For each text and unit: how many symbols it has, and its anchors with a fingerprint of the run of windows of each."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data, offsets in unit.read(batch.column("text")):
-                of, at, h, lo, hi = anchors(data, offsets, unit.length, unit.gram)
-                order = np.lexsort((at, of))
-                of, at, h, lo, hi = (x[order] for x in (of, at, h, lo, hi))
-                run = mix(span_hashes(prefix_sums(data, 1), at - hi, at - lo + unit.length) ^ mix((lo * (unit.length + 1) + hi).astype(U)))
-                n = len(offsets) - 1
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]), pa.int32())
-                columns = [h.view(np.int64), run.view(np.int64), *[x.astype(np.int32) for x in (at - offsets[of], lo, hi)]]
-                lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(i, n), pa.array(np.diff(offsets), pa.int32()), *lists], names=["digest", "n", "hash", "run", "place", "lo", "hi"])
+            for unit in units:
+                for i, data, offsets in unit.read(batch.column("text")):
+                    of, at, h, lo, hi = anchors(data, offsets, unit.length, unit.gram)
+                    order = np.lexsort((at, of))
+                    of, at, h, lo, hi = (x[order] for x in (of, at, h, lo, hi))
+                    run = mix(span_hashes(prefix_sums(data, 1), at - hi, at - lo + unit.length) ^ mix((lo * (unit.length + 1) + hi).astype(U)))
+                    n = len(offsets) - 1
+                    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]), pa.int32())
+                    columns = [unit.named(h).view(np.int64), run.view(np.int64), *[x.astype(np.int32) for x in (at - offsets[of], lo, hi)]]
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
+                    own = [batch.column("digest").slice(i, n), pa.array(np.full(n, unit.words)), pa.array(np.diff(offsets), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*own, *lists], names=["digest", "words", "n", "hash", "run", "place", "lo", "hi"])
 
     return slim.mapInArrow(find, ANCHORED)
 
@@ -129,28 +140,32 @@ def _flat(batch: pa.RecordBatch, column: str, i: int, n: int) -> tuple[np.ndarra
     return of, {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
 
 
-def snippets(found: DataFrame, unit: Unit) -> DataFrame:
+SNIPPET = "id long, words boolean, hash long, start int, piece binary, owner long, rep long, digest binary"
+
+
+def snippets(found: DataFrame, units: list[Unit]) -> DataFrame:
     """The symbols of all windows of each anchor that must be told apart, in one piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data, offsets in unit.read(batch.column("text")):
-                of, x = _flat(batch, "marks", i, len(offsets) - 1)
-                keep = x["tell"].astype(bool) & ~x["hot"].astype(bool)
-                of, x = of[keep], {k: v[keep] for k, v in x.items()}
-                a = x["place"] - x["hi"] + offsets[of]
-                b = x["place"] - x["lo"] + unit.length + offsets[of]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("id").take(pa.array(i + of)), pa.array(x["hash"]), pa.array((x["place"] - x["hi"]).astype(np.int32)),
-                    pa.array([data[p:q].tobytes() for p, q in zip(a, b, strict=True)], pa.binary()),
-                    batch.column("owner").take(pa.array(i + of)), batch.column("digest").take(pa.array(i + of)),
-                ], names=["id", "hash", "start", "piece", "owner", "digest"])
-
-    return found.select("id", "owner", "digest", "text", "marks").mapInArrow(cut, "id long, hash long, start int, piece binary, owner long, digest binary")
-
-
-def _spans(group: pa.Table, unit: Unit, keep_first: bool, across: bool) -> pa.RecordBatch:
-    """The spans of the windows that repeat among whole groups of pieces."""
+            for unit in units:
+                for i, data, offsets in unit.read(batch.column("text")):
+                    of, x = _flat(batch, "marks", i, len(offsets) - 1)
+                    keep = x["tell"].astype(bool) & ~x["hot"].astype(bool) & (x["words"].astype(bool) == unit.words)
+                    of, x = of[keep], {k: v[keep] for k, v in x.items()}
+                    a = x["place"] - x["hi"] + offsets[of]
+                    b = x["place"] - x["lo"] + unit.length + offsets[of]
+                    row = pa.array(i + of)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("id").take(row), pa.array(np.full(len(of), unit.words)), pa.array(x["hash"]), pa.array((x["place"] - x["hi"]).astype(np.int32)),
+                        pa.array([data[p:q].tobytes() for p, q in zip(a, b, strict=True)], pa.binary()), *[batch.column(c).take(row) for c in ("owner", "rep", "digest")],
+                    ], names=["id", "words", "hash", "start", "piece", "owner", "rep", "digest"])
+
+    return found.select("id", "owner", "rep", "digest", "text", "marks").mapInArrow(cut, SNIPPET)
+
+
+def _spans(group: pa.Table, unit: Unit, keep_first: bool) -> pa.RecordBatch:
+    """The spans of the windows that repeat among whole groups of pieces: bytes anywhere, words in another text."""
     pieces = group.column("piece").combine_chunks()
     size = 8 if unit.words else 1
     ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
@@ -160,40 +175,42 @@ def _spans(group: pa.Table, unit: Unit, keep_first: bool, across: bool) -> pa.Re
     many = np.diff(ends) - unit.length + 1
     row = np.repeat(np.arange(len(many)), many)
     back = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    ids, owner = group.column("id").to_numpy(), group.column("owner").to_numpy()
+    ids = group.column("id").to_numpy()
     start = group.column("start").to_numpy()[row] + back
     order = np.lexsort((start, ids[row]))
     once = np.ones(len(order), bool)  # a window in which two equal grams tie is in two pieces
     once[1:] = (np.diff(start[order]) != 0) | (np.diff(ids[row][order]) != 0)
     order = order[once]
     row, start, first = row[order], start[order], (ends[row] + back)[order]
-    if across:
-        place = np.unique(owner, return_inverse=True)[1][row]
+    if unit.words:
+        place = np.unique(group.column("owner").to_numpy(), return_inverse=True)[1][row]
     else:
-        digests = np.array(group.column("digest").to_pylist(), dtype="S32")
-        place = np.unique(np.rec.fromarrays([owner, digests]), return_inverse=True)[1].reshape(-1)[row] << 32 | start
-    gone = longest_factors(symbols, first, place.astype(np.int64), unit.length, not keep_first) >= unit.length
+        texts = np.rec.fromarrays([group.column("rep").to_numpy(), np.array(group.column("digest").to_pylist(), dtype="S32")])
+        place = np.unique(texts, return_inverse=True)[1].reshape(-1)[row] << 32 | start
+    gone = longest_factors(symbols, first, place.astype(np.int64), unit.length, unit.words or not keep_first) >= unit.length
     i, a = ids[row][gone], start[gone]
     fresh = np.ones(len(a), bool)
     fresh[1:] = (i[1:] != i[:-1]) | (a[1:] > a[:-1] + unit.length)
     begins = np.flatnonzero(fresh)
     last = np.append(begins[1:], len(a))[: len(begins)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(i[begins]), pa.array(a[begins].astype(np.int32)), pa.array((a[last] + unit.length).astype(np.int32))], names=["id", "start", "end"])
+    columns = [pa.array(i[begins]), pa.array(np.full(len(begins), unit.words)), pa.array(a[begins].astype(np.int32)), pa.array((a[last] + unit.length).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "words", "start", "end"])
 
 
-def repeated_windows(pieces: DataFrame, unit: Unit, keep_first: bool, across: bool) -> DataFrame:
+def repeated_windows(pieces: DataFrame, units: list[Unit], keep_first: bool) -> DataFrame:
     """Spans of the windows that repeat, from pieces whose windows all meet: those of equal hash, in suffix order."""
 
     def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(upto: pa.Table) -> Iterator[pa.RecordBatch]:
-            hashes = upto.column("hash").to_numpy()
+            hashes, words = upto.column("hash").to_numpy(), upto.column("words").to_numpy()
             edges = np.append(np.flatnonzero(np.diff(hashes) != 0) + 1, len(hashes))
-            room, a = max(1, WINDOWS // (unit.length - unit.gram + 1)), 0
-            for k, b in enumerate(edges):  # as many groups at once as make up about WINDOWS windows
-                if b - a >= room or k == len(edges) - 1:
-                    yield _spans(upto.slice(a, b - a), unit, keep_first, across)
+            a = 0
+            for k, b in enumerate(edges):  # as many groups of one unit at once as make up about WINDOWS windows
+                unit = next(u for u in units if u.words == words[a])
+                if k == len(edges) - 1 or b - a >= WINDOWS // (unit.length - unit.gram + 1) or words[b] != words[a]:
+                    yield _spans(upto.slice(a, b - a), unit, keep_first)
                     a = b
 
         for batch in batches:
@@ -210,7 +227,7 @@ def repeated_windows(pieces: DataFrame, unit: Unit, keep_first: bool, across: bo
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    return pieces.repartition("hash").sortWithinPartitions("hash").mapInArrow(whole_groups, "id long, start int, end int")
+    return pieces.repartition("hash").sortWithinPartitions("words", "hash").mapInArrow(whole_groups, "id long, words boolean, start int, end int")
 
 
 def block_prints(found: DataFrame, unit: Unit) -> DataFrame:
@@ -222,7 +239,7 @@ def block_prints(found: DataFrame, unit: Unit) -> DataFrame:
             ids = batch.column("id").to_numpy()
             for i, data, offsets in unit.read(batch.column("text")):
                 of, x = _flat(batch, "marks", i, len(offsets) - 1)
-                keep = x["tell"].astype(bool) & x["hot"].astype(bool)
+                keep = x["tell"].astype(bool) & x["hot"].astype(bool) & (x["words"].astype(bool) == unit.words)
                 of, x = of[keep], {k: v[keep] for k, v in x.items()}
                 if not len(of):
                     continue
@@ -278,65 +295,69 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on).drop(*[f"_{k}" for k in keys])
 
 
-def _counted(df: DataFrame, keys: list[str], prefix: str, across: bool) -> DataFrame:
-    """How often each combination of keys occurs, the first place where it does, and whether it repeats."""
-    many = F.min("owner") < F.max("owner") if across else F.count(F.lit(1)) > 1
+def _counted(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """The first and last place of each combination of keys, how often it occurs, and whether that is repetition."""
+    many = F.when(F.first("words"), F.min("owner") < F.max("owner")).otherwise(F.count(F.lit(1)) > 1)
     some = [F.count(F.lit(1)).alias(f"{prefix}_n"), F.min("at").alias(f"{prefix}_first"), F.max("at").alias(f"{prefix}_last"), many.alias(f"{prefix}_many")]
     return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*some)
 
 
-def _hot_spans(found: DataFrame, unit: Unit, keep_first: bool, across: bool) -> DataFrame:
+def _hot_spans(found: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
     """Spans of the windows of hot grams that repeat, by counting fingerprints."""
-    own = found.select(F.col("id").alias("_id"), "owner", "digest")
-    where = lambda place: F.struct("owner", "digest", F.col(place).alias("place")) if keep_first else F.struct("id", F.col(place).alias("place"))
-    named = (lambda df: _same(df, own, ["id"])) if keep_first or across else (lambda df: df)
-    blocks = block_prints(found.filter(F.exists("marks", lambda m: m["tell"] & m["hot"])).select("id", "text", "marks"), unit)
-    blocks = materialize(named(blocks).withColumn("at", where("place")), "blocks")
-    cores = _counted(blocks, ["hash", "block", "core"], "core", across).filter("core_many")
-    unions = _counted(blocks.filter("union is not null"), ["hash", "block", "union"], "union", across).filter("union_many")
+    own = found.select(F.col("id").alias("_id"), "owner", "rep", "digest")
+    first_stays = keep_first and not unit.words
+
+    def named(df: DataFrame, place: str) -> DataFrame:
+        df = _same(df, own, ["id"]) if keep_first or unit.words else df.withColumn("owner", F.lit(0))
+        at = F.struct("rep", "digest", F.col(place).alias("place")) if keep_first else F.struct("id", F.col(place).alias("place"))
+        return df.withColumns({"at": at, "words": F.lit(unit.words)})
+
+    mine = found.filter(F.exists("marks", lambda m: m["tell"] & m["hot"] & (m["words"] == F.lit(unit.words))))
+    blocks = materialize(named(block_prints(mine.select("id", "text", "marks"), unit), "place"), "blocks")
+    cores = _counted(blocks, ["hash", "block", "core"], "core").filter("core_many")
+    unions = _counted(blocks.filter("union is not null"), ["hash", "block", "union"], "union").filter("union_many")
     told = _same(blocks, cores, ["hash", "block", "core"])
     on = (told["hash"] == unions["_hash"]) & (told["block"] == unions["_block"]) & (told["union"] == unions["_union"])
     told = told.join(unions, on, "left").drop("_hash", "_block", "_union")
-    earlier = (lambda c: F.col(f"{c}_first") < F.col("at")) if keep_first else (lambda c: F.lit(True))
+    earlier = (lambda c: F.col(f"{c}_first") < F.col("at")) if first_stays else (lambda c: F.lit(True))
     whole = F.coalesce(F.col("union_many") & earlier("union"), F.lit(False))
     told = materialize(told.select("id", "hash", "place", "block", "lo", "hi", "core", whole.alias("whole"), (F.col("at") == F.col("union_first")).alias("mine")), "told-blocks")
     block, length = unit.block, unit.length
     spans = told.filter("whole").select("id", (F.col("place") - F.col("block") * block - (block - 1)).alias("start"), (F.col("place") - F.col("block") * block + length).alias("end"))
     # Where windows must be told one by one, those of blocks that repeat whole are there to be met: one block of each
-    # kind, or where documents must differ, each.
+    # kind, or where texts must differ, each.
     unclear = told.filter("not whole").groupBy(*[F.col(k).alias(f"_{k}") for k in ("hash", "block", "core")]).agg(F.count(F.lit(1)).alias("unclear"))
-    met = told.filter("whole" if across else "whole and mine")
+    met = told.filter("whole" if unit.words else "whole and mine")
     open_ = told.filter("not whole").unionByName(_same(met, unclear, ["hash", "block", "core"]).drop("unclear"))
     open_ = open_.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("hash", "place", "block", "lo", "hi")).alias("open"))
     windows = window_prints(_same(found.select("id", "text"), open_, ["id"]).select("id", "text", "open"), unit)
     # A window in which two equal grams tie has two anchors, but is one window.
-    windows = materialize(named(windows).withColumn("at", where("start")).dropDuplicates(["id", "hash", "start"]), "windows")
-    again = _counted(windows, ["hash", "window"], "window", across).filter("window_many")
+    windows = materialize(named(windows, "start").dropDuplicates(["id", "hash", "start"]), "windows")
+    again = _counted(windows, ["hash", "window"], "window").filter("window_many")
     again = _same(windows, again, ["hash", "window"]).filter(earlier("window"))
-    return spans.unionByName(again.select("id", "start", (F.col("start") + length).alias("end")))
+    return spans.unionByName(again.select("id", "start", (F.col("start") + length).alias("end"))).withColumn("words", F.lit(unit.words))
 
 
-def repeated_spans(slim: DataFrame, copies: DataFrame, unit: Unit, keep_first: bool, across: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts: id, digest, text; spans: id and a list of spans; sizes: digest and n symbols).
+def repeated_spans(slim: DataFrame, copies: DataFrame, units: list[Unit], keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts: id, digest, text; spans: id and the lists spans, of bytes, and passages, of words; sizes: digest, n words).
 
-    slim: doc_id, text, digest. copies: digest, copies, rep. Of equal texts, one is judged. With `across`, only what
-    stands in two different texts repeats, else also what stands twice in one.
+    slim: doc_id, text, digest. copies: digest, copies, rep. Of equal texts, one is judged.
     """
-    lists = materialize(anchored(slim.filter(F.octet_length("text") >= unit.least_bytes()).select("digest", "text"), unit), "anchors")
+    least = min(u.least_bytes() for u in units)
+    lists = materialize(anchored(slim.filter(F.octet_length("text") >= least).select("digest", "text"), units), "anchors")
     at_lists = mark() - 1
-    sizes = materialize(lists.select("digest", "n").dropDuplicates(["digest"]), "sizes")
+    sizes = materialize(lists.filter("words").select("digest", "n").dropDuplicates(["digest"]), "sizes")
     if keep_first:
-        lists = _same(lists, copies.select(F.col("digest").alias("_digest"), F.coalesce("rep", F.lit(-(2**63))).alias("owner")), ["digest"])
-    else:
-        lists = lists.withColumn("owner", F.xxhash64("digest"))
-    marks = lists.select("digest", "owner", F.inline(F.arrays_zip("hash", "run", "place", "lo", "hi")))
+        lists = _same(lists, copies.select(F.col("digest").alias("_digest"), "rep"), ["digest"])
+    rep = F.coalesce("rep", F.lit(-(2**63)))
+    marks = lists.select("digest", F.xxhash64("digest").alias("owner"), "words", *([rep.alias("rep")] if keep_first else []), F.inline(F.arrays_zip("hash", "run", "place", "lo", "hi")))
     place = F.xxhash64("digest", "place")
-    if across:  # first and last then stand in different texts, if any two do
-        place = F.col("owner").bitwiseAND(F.lit(-(2**32))).bitwiseOR(place.bitwiseAND(F.lit(2**32 - 1)))
-    marks = marks.withColumn("at", F.struct("owner", "digest", "place") if keep_first else place)
+    # Of words, the first and the last place stand in different texts if any two do.
+    apart = F.col("owner").bitwiseAND(F.lit(-(2**32))).bitwiseOR(place.bitwiseAND(F.lit(2**32 - 1)))
+    marks = marks.withColumn("at", F.struct("rep", "digest", "place") if keep_first else F.when(F.col("words"), apart).otherwise(place))
     # Equal texts hold equal anchors: where the first stays they are one text, else each counts.
     each = marks.dropDuplicates(["digest", "place", "hash"]) if keep_first else marks
-    runs = materialize(_counted(each, ["hash", "run"], "run", across), "runs")
+    runs = materialize(_counted(each, ["hash", "run"], "run"), "runs")
     at_runs = mark() - 1
     # How many occurrences go on: of runs that repeat one, of others each.
     tells = F.sum(F.when(F.col("run_many"), 1).otherwise(F.col("run_n")))
@@ -344,87 +365,75 @@ def repeated_spans(slim: DataFrame, copies: DataFrame, unit: Unit, keep_first: b
     shared = materialize(runs.join(per, F.col("_hash") == F.col("_h")).select("_hash", "_run", "run_first", "run_last", "run_many", (F.col("kinds") > 1).alias("others"), (F.col("lone") > 0).alias("lone"), (F.col("tells") > GROUP).alias("hot")), "shared-runs")
     at_shared = mark() - 1
     discard(at_runs)
-    mine = F.col("at") == F.col("run_first")
-    mine = mine | (F.col("at") == F.col("run_last")) if across else mine
-    gone = F.col("run_many") & (~mine if keep_first else F.lit(True))
-    tell = F.col("others") & (mine if keep_first else ~F.col("run_many") | (mine & F.col("lone")))
-    hits = _same(each, shared, ["hash", "run"]).select("digest", F.struct("hash", "place", "lo", "hi", gone.alias("gone"), tell.alias("tell"), "hot").alias("m"))
+    mine = (F.col("at") == F.col("run_first")) | (F.col("words") & (F.col("at") == F.col("run_last")))
+    first_stays = ~F.col("words") if keep_first else F.lit(False)
+    gone = F.col("run_many") & ~(first_stays & mine)
+    tell = F.col("others") & (~F.col("run_many") & ~first_stays | mine & (F.col("lone") | first_stays))
+    hits = _same(each, shared, ["hash", "run"]).select("digest", F.struct("words", "hash", "place", "lo", "hi", gone.alias("gone"), tell.alias("tell"), "hot").alias("m"))
     # A set, since copies bring equal marks: it is no larger than one text's.
     hits = hits.filter("m.gone or m.tell").groupBy(F.col("digest").alias("_digest")).agg(F.collect_set("m").alias("marks"))
     hits = hits.join(copies, F.col("_digest") == F.col("digest")).drop("digest")
-    if not keep_first:  # copies are decided as wholes, and are read on only to be met by others
-        hits = hits.withColumn("marks", F.when(F.col("copies") > 1, F.filter("marks", lambda m: m["tell"])).otherwise(F.col("marks"))).filter(F.size("marks") > 0)
+    # Copies are decided as wholes, and are read on only to be met by others; where the first stays, its bytes are not.
+    needed = F.filter("marks", lambda m: m["tell"] | (~m["words"] if keep_first else F.lit(False)))
+    hits = hits.withColumn("marks", F.when(F.col("copies") > 1, needed).otherwise(F.col("marks"))).filter(F.size("marks") > 0)
     hits = materialize(hits.select("_digest", "rep", "marks"), "hits")
     at_hits = mark() - 1
     discard(at_lists)
     discard(at_shared)
     found = slim.join(hits, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    owner = F.coalesce("rep", F.lit(-(2**63))) if keep_first else F.xxhash64("digest")
-    found = materialize(found.select("digest", owner.alias("owner"), "text", "marks", F.monotonically_increasing_id().alias("id")), "marked-texts")
+    found = found.select("digest", F.xxhash64("digest").alias("owner"), rep.alias("rep"), "text", "marks", F.monotonically_increasing_id().alias("id"))
+    found = materialize(found, "marked-texts")
     discard(at_hits)
     each_mark = found.select("id", F.explode("marks").alias("m"))
-    spans = each_mark.filter("m.gone").select("id", (F.col("m.place") - F.col("m.hi")).alias("start"), (F.col("m.place") - F.col("m.lo") + unit.length).alias("end"))
-    told = materialize(repeated_windows(snippets(found.filter(F.exists("marks", lambda m: m["tell"] & ~m["hot"])), unit), unit, keep_first, across), "repeated-windows")
-    spans = spans.unionByName(told)
-    if not each_mark.filter("m.tell and m.hot").isEmpty():
-        spans = spans.unionByName(_hot_spans(found, unit, keep_first, across))
-    spans = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    length = F.lit(0)
+    for u in units:
+        length = F.when(F.col("m.words") == F.lit(u.words), u.length).otherwise(length)
+    spans = each_mark.filter("m.gone").select("id", "m.words", (F.col("m.place") - F.col("m.hi")).alias("start"), (F.col("m.place") - F.col("m.lo") + length).alias("end"))
+    pieces = snippets(found.filter(F.exists("marks", lambda m: m["tell"] & ~m["hot"])), units)
+    spans = spans.unionByName(materialize(repeated_windows(pieces, units, keep_first), "repeated-windows"))
+    for u in units:
+        if not each_mark.filter("m.tell and m.hot").filter(F.col("m.words") == F.lit(u.words)).isEmpty():
+            spans = spans.unionByName(_hot_spans(found, u, keep_first))
+    span = F.struct("start", "end")
+    spans = spans.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.when(~F.col("words"), span)).alias("spans"), F.collect_list(F.when(F.col("words"), span)).alias("passages"))
     return found.select("id", "digest", "text"), spans, sizes
 
 
-def _removed(found: DataFrame, with_text: bool) -> DataFrame:
-    """The result of each text, from the byte ranges in `spans`."""
+def _covered(of: np.ndarray, x: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many symbols the spans of each text cover, and in how many runs."""
+    order = np.lexsort((x["start"], of))
+    of = of[order]
+    a, b = (x[k][order].astype(np.int64) + (of << 32) for k in ("start", "end"))
+    before = np.concatenate([[-1], np.maximum.accumulate(b)[:-1]])[: len(b)]
+    symbols = np.bincount(of, weights=np.maximum(0, b - np.maximum(a, before)), minlength=n)
+    return symbols.astype(np.int64), np.bincount(of[a > before], minlength=n)
+
+
+RESULT = "digest binary, n_removed long, n_spans long, kept_digest binary, kept_text string, passage_words long, passages long"
+
+
+def _results(found: DataFrame, with_text: bool) -> DataFrame:
+    """The result of each text, from its spans of bytes and of words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            digests, texts = [], []
             for i, data, offsets in groups(batch.column("text")):
                 of, x = _flat(batch, "spans", i, len(offsets) - 1)
                 depth = np.zeros(len(data) + 1, dtype=np.int64)
                 np.add.at(depth, x["start"] + offsets[of], 1)
                 np.add.at(depth, x["end"] + offsets[of], -1)
-                gone = np.cumsum(depth)[:-1] > 0
+                stays = np.cumsum(depth)[:-1] <= 0
                 for a, b in zip(offsets, offsets[1:], strict=False):
-                    own, kept = gone[a:b], data[a:b][~gone[a:b]].tobytes()
-                    starts = int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum())
-                    out.append((int(own.sum()), starts, hashlib.sha256(kept).digest(), kept.decode("utf-8", "replace") if with_text else ""))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)]], names=["digest", "n_removed", "n_spans", "kept_digest", "kept_text"])
-
-    return found.mapInArrow(cut, "digest binary, n_removed long, n_spans long, kept_digest binary, kept_text string")
-
-
-def _covered(found: DataFrame) -> DataFrame:
-    """digest, how many symbols its spans cover, and in how many runs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+                    kept = data[a:b][stays[a:b]].tobytes()
+                    digests.append(hashlib.sha256(kept).digest())
+                    texts.append(kept.decode("utf-8", "replace") if with_text else "")
             n = batch.num_rows
-            of, x = _flat(batch, "spans", 0, n)
-            order = np.lexsort((x["start"], of))
-            of = of[order]
-            a, b = (x[k][order].astype(np.int64) + (of << 32) for k in ("start", "end"))
-            before = np.concatenate([[-1], np.maximum.accumulate(b)[:-1]])[: len(b)]
-            symbols = np.bincount(of, weights=np.maximum(0, b - np.maximum(a, before)), minlength=n)
-            runs = np.bincount(of[a > before], minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(symbols.astype(np.int64)), pa.array(runs.astype(np.int64))], names=["digest", "symbols", "runs"])
+            counts = [pa.array(c) for name in ("spans", "passages") for c in _covered(*_flat(batch, name, 0, n), n)]
+            columns = [batch.column("digest"), *counts[:2], pa.array(digests, pa.binary()), pa.array(texts, pa.string()), *counts[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "n_removed", "n_spans", "kept_digest", "kept_text", "passage_words", "passages"])
 
-    return found.mapInArrow(count, "digest binary, symbols long, runs long")
-
-
-def _shared(slim: DataFrame, copies: DataFrame, words: int) -> DataFrame:
-    """digest, passage_words and passages of each text that shares a run of more than `words` words with another text.
-
-    A text that another row equals is one passage, if it has as many words.
-    """
-    unit = Unit(True, words + 1, (words + 1) // 2 + 1, 4)
-    found, spans, sizes = repeated_spans(slim, copies, unit, False, True)
-    part = materialize(_covered(_same(found, spans, ["id"]).select("digest", "spans")).dropDuplicates(["digest"]), "covered")
-    many = copies.filter("copies > 1").select(F.col("digest").alias("_digest"))
-    whole = sizes.filter(F.col("n") > words).join(many, F.col("digest") == F.col("_digest")).select("digest", F.col("n").cast("long").alias("symbols"), F.lit(1).cast("long").alias("runs"))
-    part = part.join(many, F.col("digest") == F.col("_digest"), "left_anti")
-    out = part.unionByName(whole).select(F.col("digest").alias("_shared"), F.col("symbols").alias("passage_words"), F.col("runs").alias("passages"))
-    return materialize(out, "shared-passages")
+    return found.mapInArrow(cut, RESULT)
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, keep_first: bool = False, with_text: bool = False, words: int | None = None) -> DataFrame:
@@ -447,26 +456,33 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("uid").alias("c")))
     copies = rows.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("bytes"), first.alias("first"))
     copies = materialize(copies.select("digest", "copies", "bytes", F.col("first.b").alias("rep"), F.col("first.c").alias("rep_uid")), "copies")
-    found, spans, _ = repeated_spans(slim, copies.select("digest", "copies", "rep"), Unit(False, length, gram, block), keep_first, False)
-    done = _removed(_same(found, spans, ["id"]).select("digest", "text", "spans"), with_text)
+    units = [Unit(False, length, gram, block)]
+    if words is not None:
+        units.append(Unit(True, words + 1, (words + 1) // 2 + 1, 4))
+    found, spans, sizes = repeated_spans(slim, copies.select("digest", "copies", "rep"), units, keep_first)
+    done = _results(_same(found, spans, ["id"]).select("digest", "text", "spans", "passages"), with_text)
     done = done if with_text else done.drop("kept_text")
     done = materialize(done.dropDuplicates(["digest"]).withColumnRenamed("digest", "_digest"), "removed")
-    many = copies.filter((F.col("copies") > 1) & (F.col("bytes") >= length)).select(F.col("digest").alias("_copy"), "rep_uid")
+    many = copies.filter("copies > 1").select(F.col("digest").alias("_copy"), "rep_uid", "bytes")
+    many = many.join(sizes, F.col("_copy") == F.col("digest"), "left").drop("digest")
     out = rows.join(done, F.col("digest") == F.col("_digest"), "left").join(many, F.col("digest") == F.col("_copy"), "left")
-    if words is not None:
-        out = out.join(_shared(slim, copies.select("digest", "copies", "rep"), words), F.col("digest") == F.col("_shared"), "left")
-    copied = F.col("_copy").isNotNull()
+    copied = F.coalesce(F.col("bytes") >= length, F.lit(False))
     if keep_first:
         copied = copied & (F.col("uid") != F.col("rep_uid"))
     nothing = F.unhex(F.sha2(F.lit(""), 256))
-    return out.select(
+    result = [
         "doc_id", "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.lower(F.hex(F.when(copied, nothing).otherwise(F.coalesce("kept_digest", "digest")))).alias("kept_sha256"),
-        *([F.when(copied, "").otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
-        *([F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("passage_words", "passages")] if words is not None else []),
-    )
+    ]
+    if with_text:
+        result.append(F.when(copied, "").otherwise(F.col("kept_text")).alias("kept_text"))
+    if words is not None:  # a text that another row equals is one passage, if it has as many words
+        whole = F.col("n") > words
+        result.append(F.when(whole, F.col("n")).otherwise(F.coalesce("passage_words", F.lit(0))).cast("long").alias("passage_words"))
+        result.append(F.when(whole, F.lit(1)).otherwise(F.coalesce("passages", F.lit(0))).cast("long").alias("passages"))
+    return out.select(*result)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
