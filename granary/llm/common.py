@@ -102,6 +102,13 @@ def as_text(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (_id), with all their columns, whatever they are called."""
+    name = next(f"gone_{i}" for i in range(len(docs.columns) + 1) if f"gone_{i}" not in docs.columns)
+    gone = gone.select(F.col("_id").alias(name))
+    return docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(name)), "left_anti")
+
+
 def without_space(col: Column) -> Column:
     """The text without any character of SPACE, by byte-level replacement."""
     for c in " \n\t\r\x0b\x0c":

@@ -2,14 +2,15 @@
 
 A Misra-Gries summary (Spark's frequent-items sketch belongs to that family) names the digests that may hold a large
 share of all rows. Those few are counted exactly, and their winners are broadcast, so that their rows never meet: each
-map task marks its own. All other digests are rare by construction and take one ordinary shuffle of slim rows.
+map task marks its own. All other digests are rare by construction and take an ordinary shuffle: an aggregation with map-side sums, from which
+texts without a copy come out whole, and a join of the rows that have copies.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import as_text, documents, free, mark, materialize, without_space
+from granary.llm.common import as_text, documents, free, mark, materialize, without_ids, without_space
 
 #: A digest of more than 1 / SHARE of all rows is heavy: at most SHARE digests are, which bounds the broadcast.
 SHARE = 1000
@@ -58,9 +59,11 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     winners = heavy.groupBy("digest").agg(top.alias("top"), size.alias("group_size")).filter("group_size > 1")
     winners = F.broadcast(winners)  # SHARE rows at most, but for equal 64-bit keys
     marked = slim.join(winners, "digest")
-    alone = Window.partitionBy("digest")
-    rest = slim.join(winners.select("digest"), "digest", "left_anti").withColumns({"top": top.over(alone), "group_size": size.over(alone)})
-    return marked.unionByName(rest).select(
+    rest = slim.join(winners.select("digest"), "digest", "left_anti")
+    groups = materialize(rest.groupBy("digest").agg(top.alias("top"), size.alias("group_size")), "groups")
+    single = groups.filter("group_size = 1").select("digest", F.bitwise_not("top.d").alias("doc_id"), F.col("top.n_chars").alias("n_chars"), F.bitwise_not("top.u").alias("uid"), "top", "group_size")
+    several = rest.join(groups.filter("group_size > 1"), "digest")
+    return marked.unionByName(several).unionByName(single).select(
         "doc_id",
         F.bitwise_not("top.d").alias("keep_id"),
         "group_size",
@@ -82,11 +85,12 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     free(since)
     if groups.groupBy("_id").count().filter("count > 1").isEmpty():
         gone = materialize(groups.filter(~F.col("kept")).select("_id"), "gone")
-        return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
-    rows = docs.withColumn("_own_digest", F.unhex(F.sha2(without_space(as_text(text)), 256)))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
+        return without_ids(docs, doc_id, gone)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whatever the columns are called
+    rows = docs.select(own.alias("_row"), F.col(doc_id).alias("_own_id"), F.unhex(F.sha2(without_space(as_text(text)), 256)).alias("_own_digest"))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
     found = rows.join(groups.filter("kept").select("_id", "_digest"), same, "left_semi")
-    return found.dropDuplicates([doc_id, "_own_digest"]).drop("_own_digest")
+    return found.dropDuplicates(["_own_id", "_own_digest"]).select("_row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import as_text, discard, documents, free, mark, materialize
+from granary.llm.common import as_text, discard, documents, free, mark, materialize, without_ids
 from granary.llm.hashing import U, groups, mix, shingles
 
 BANDS, ROWS = 24, 5
@@ -272,21 +272,22 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     of rows that repeat both one is taken.
     """
     since = mark()
-    if docs.groupBy(doc_id).count().filter("count > 1").isEmpty():
+    if docs.groupBy(F.col(doc_id).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
         classes = materialize(near_classes(docs, text, doc_id).select(F.col("doc_id").alias("_id"), "kept"), "near-kept")
         free(since)
         # Few rows go: their ids are the small side, which Spark broadcasts if it is small enough.
         gone = materialize(classes.filter(~F.col("kept")).select("_id"), "near-gone")
-        return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+        return without_ids(docs, doc_id, gone)
     digest = F.unhex(F.sha2(as_text(text), 256))
     classes = near_classes(docs, text, doc_id, name=digest).groupBy(F.col("doc_id").alias("_id"), F.col("name").alias("_digest"))
     stay = F.sum(F.col("kept").cast("int"))
     gone = materialize(classes.agg(F.count(F.lit(1)).alias("_n"), stay.alias("_stay")).filter("_stay < _n"), "near-gone")
     free(since)
-    rows = docs.withColumn("_own_digest", digest)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
-    one = rows.join(gone.filter("_stay > 0"), same, "left_semi").dropDuplicates([doc_id, "_own_digest"])
-    return rows.join(gone, same, "left_anti").unionByName(one).drop("_own_digest")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whatever the columns are called
+    rows = docs.select(own.alias("_row"), F.col(doc_id).alias("_own_id"), digest.alias("_own_digest"))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
+    one = rows.join(gone.filter("_stay > 0"), same, "left_semi").dropDuplicates(["_own_id", "_own_digest"])
+    return rows.join(gone, same, "left_anti").unionByName(one).select("_row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from granary.llm.hashing import U, groups, mix, prefix_sums, shingles, span_hash
 SAMPLE = 8000
 THRESHOLD = 0.7
 EPOCHS, RATE, DECAY = 400, 0.05, 1e-3
-#: No more than this share of the training positives scores under the logistic of PASSING (0.8) by the last shift.
-TRUSTED, PASSING = 0.001, 1.386
+#: The prior is read where at least this share of the positives scores higher: fewer would be left to chance.
+TAIL = 0.2
 
 CHARACTERS = "\n .,!?;:'\"-()|#*$%&<>/@=_"
 
@@ -80,13 +80,29 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1).astype(np.float32)
 
 
-def estimated_prior(positive: int, negative: int) -> float:
-    """The share of positives among labelled rows, which are taken to be drawn like the rest; kept off 0 and 1."""
-    return min(0.98, max(0.02, (positive + 1) / (positive + negative + 2)))
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in unlabelled text, from trusted positives and that text alone; kept off 0 and 1.
+
+    A model that tells positives from unlabelled text is fitted on the even rows. Wherever a threshold is set on the odd
+    rows, the unlabelled share above it is at least the prior times the positives' share: the least ratio is the
+    estimate, and is reached where hardly any negatives score so high. Chance makes it lean low, by some hundredths for
+    a thousand positives: the safe side, since too high a prior takes negatives for positives.
+    """
+    if len(positive) < 20 or len(unlabelled) < 20:
+        return 0.5
+    mean, scale, w, b = fit_nnpu(positive[::2], unlabelled[::2], None)
+    p, u = (np.sort((x[1::2] - mean) / scale @ w + b) for x in (positive, unlabelled))
+    at = np.unique(np.quantile(p, np.linspace(0, 1 - TAIL, 81)))
+    above = [1 - np.searchsorted(x, at, side="left") / len(x) for x in (p, u)]
+    return float(min(0.98, max(0.02, (above[1] / above[0]).min())))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(mean, scale, weights, bias) of a logistic model that minimises the non-negative unbiased risk, by Adam."""
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(mean, scale, weights, bias) of a logistic model that minimises the non-negative unbiased risk, by Adam.
+
+    Without a prior, of one that tells positives from unlabelled text.
+    """
+    plain, prior = prior is None, prior or 0.5
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 0.02
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
@@ -98,7 +114,9 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
         sp, su = sigmoid(zp), sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gu, gp = su / len(su), prior * sp / len(sp)  # of the negative risk
-        if negative >= 0:
+        if plain:
+            zgu, zgp = prior * gu, prior * (sp - 1) / len(sp)
+        elif negative >= 0:
             zgu, zgp = gu, -gp + prior * (sp - 1) / len(sp)
         else:  # go back up: only the negative risk, the other way
             zgu, zgp = -gu, gp
@@ -133,24 +151,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     """One row per document: doc_id, held_out, score (0 to 1), from the text alone.
 
     labels (doc_id, quality) are read where held_out is false; rows with a null doc_id or quality teach nothing. At most
-    `sample` positives and as many documents without a label train. Without positives, or without unlabelled text,
-    every score is the prior. A null text is empty; empty texts are scored like others; repeated rows get equal scores;
+    `sample` positives and as many documents without a label train; labels other than 1 are not read. Without a prior, it
+    is estimated from the two samples. Without positives, or without unlabelled text, every score is the prior, or 0.5. A null text is empty; empty texts are scored like others; repeated rows get equal scores;
     no rows give no rows; further columns are not read.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_text(text).alias("text"))
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    counts = known.agg(F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") != 1).alias("n")).first()
-    prior = prior or estimated_prior(counts["p"], counts["n"])
     positive = _sample(slim, known.filter("quality = 1").select("doc_id"), sample)
     others = slim.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti")
     unlabelled = _sample(slim, others, sample)
     if len(positive) and len(unlabelled):
-        mean, scale, w, b = fit_nnpu(positive, unlabelled, prior)
+        mean, scale, w, b = fit_nnpu(positive, unlabelled, prior or estimated_prior(positive, unlabelled))
         w = w / scale
         b = b - float(mean @ w)
-        # The risk fixes scores up to how sure it is of unlabelled text; the least trusted positives fix where it passes.
-        b -= max(0.0, float(np.quantile(positive @ w + b, TRUSTED)) - PASSING)
     else:
+        prior = prior or 0.5
         w, b = np.zeros(FEATURES), float(np.log(prior / (1 - prior)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

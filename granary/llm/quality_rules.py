@@ -1,9 +1,12 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
-Each document becomes a vector of transformed statistics. A minimum-covariance-determinant estimate per language and
-source (falling back to the language, then to all documents, where a group is small) comes from concentration steps:
-from medians and absolute deviations, keep the COVERED share of rows that lie nearest by Mahalanobis distance, estimate
-mean and covariance from them, and repeat. A document is rejected when its distance from its group's estimate is large.
+Each document becomes a vector of transformed statistics. Each language and source has a minimum-covariance-determinant
+estimate (falling back to the language, then to all documents, where a group is small): of the COVERED share of rows
+that lie close together, mean and covariance. Three starts (medians with absolute deviations, all rows, the rows near
+the medians) each take concentration steps: keep the COVERED share of rows that lie nearest by Mahalanobis distance,
+estimate from them, and repeat. The start whose covariance has the least determinant goes on until no group's
+determinant falls any more. A document is rejected when its squared distance from its group's estimate exceeds the
+quantile of the chi-squared distribution that one normal document in 10,000 exceeds.
 
 One step is one aggregation of slim rows by (group, distance bin) with map-side sums, so neither a hot source nor the
 number of rows matters: the rows of a group never meet. Statistics are whole numbers (in 1 / GRID), so that sums, and
@@ -20,20 +23,26 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Share of a group's rows that the estimate rests on.
 COVERED = 0.75
-STEPS = 4
+#: Concentration steps of every start, and at most so many more of the best.
+TRIAL_STEPS, STEPS = 2, 4
 #: Groups with fewer rows use their language's estimate, or that of all documents.
 MIN_GROUP = 200
 GRID = 1024
 BINS = 96
-#: Squared distance, in units of the estimate, from which a document is an outlier.
-CUTOFF = 30.0
-
-#: Transformed statistics, each with the smallest spread that counts as one unit.
+#: The 0.9999 quantile of the chi-squared distribution with 6 degrees of freedom, one for each statistic.
+CUTOFF = 27.856
+#: What makes the covariance of the nearest COVERED share consistent for normal rows: COVERED over the probability that
+#: chi-squared with 8 degrees of freedom stays below the COVERED quantile of that with 6 (7.841): 0.75 / 0.5508.
+CONSISTENT = 1.3617
+
+#: Transformed statistics, each with a spread whose square is added to its variance, as a regularised estimate does: most
+#: documents have no symbols or repeats at all, so that the plain determinant is zero. Each statistic can pass the
+#: cut-off alone within its range: an angle reaches 1.571, and repeats 0.785 before the base rule rejects.
 VECTOR = {
     "mean_word": 0.12,
     "symbols": 0.05,
-    "repeats": 0.15,
-    "dup_lines": 0.3,
+    "repeats": 0.125,
+    "dup_lines": 0.25,
     "capitals": 0.05,
     "bangs": 0.05,
 }
@@ -54,7 +63,10 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "sort_array(if(q_n < 3, array(), transform(sequence(0, greatest(q_n, 3) - 3),"
         " i -> (shiftleft(xxhash64(get(q_words, i), get(q_words, i + 1), get(q_words, i + 2)), q_bits) | i))))"
     ))
-    same = "shiftright(x, q_bits) = shiftright(get(q_windows, i {0} 1), q_bits)"
+    # Equal hashes are checked by the words: hashes lose as many bits as places need.
+    word = "get(q_words, cast({0} & (shiftleft(1L, q_bits) - 1) as int) + {1})"
+    equal = " and ".join(f"{word.format('x', k)} = {word.format('get(q_windows, i {0} 1)', k)}" for k in range(3))
+    same = f"shiftright(x, q_bits) = shiftright(get(q_windows, i {{0}} 1), q_bits) and {equal}"
     out = out.withColumn("q_again", F.expr(
         f"sort_array(transform(filter(q_windows, (x, i) -> coalesce({same.format('-')}, false) or coalesce({same.format('+')}, false)),"
         " x -> x & (shiftleft(1L, q_bits) - 1)))"
@@ -144,34 +156,68 @@ def _same_group(a: DataFrame, b: DataFrame) -> Column:
 GROUP = ["g_level", "g_lang", "g_source"]
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and 1.4826 times the median absolute deviations, of each group. Exact: the grid bounds distinct values."""
+MODEL = [f"m_{k}" for k in VECTOR] + [f"l_{i}_{j}" for i in range(len(VECTOR)) for j in range(i + 1)]
+
+
+def _sums() -> dict[str, Column]:
+    names = _names()
+    return {f"s_{i}": F.sum(a) for i, a in enumerate(names)} | {f"p_{i}_{j}": F.sum(F.col(a) * F.col(names[j])) for i, a in enumerate(names) for j in range(i + 1)}
+
+
+def _estimate(total: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """Means and the factored covariance, from sums of the rows that count."""
+    model = total.withColumns({f"m_{k}": F.col(f"s_{i}") / F.col("n") / GRID for i, k in enumerate(VECTOR)})
+    model = model.withColumns({
+        f"c_{i}_{j}": (F.col(f"p_{i}_{j}") / F.col("n") / GRID**2 - F.col(f"m_{a}") * F.col(f"m_{b}")) * factor + (F.lit(VECTOR[a] ** 2) if i == j else F.lit(0.0))
+        for i, a in enumerate(VECTOR) for j, b in enumerate(VECTOR) if j <= i
+    })
+    return _factor(model).select(*by, "g_rows", *MODEL)
+
+
+def _log_determinant() -> Column:
+    """Of the covariance, by its factor's diagonal."""
+    out = F.lit(0.0)
+    for i in range(len(VECTOR)):
+        out = out + 2 * F.log(F.col(f"l_{i}_{i}"))
+    return out
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates of each group, told apart by g_start. Exact: the grid bounds distinct values.
+
+    0: medians, and 1.4826 times the median absolute deviations; 1: all rows; 2: the rows that lie within three of those
+    deviations of the medians in every statistic (a group without such rows does without).
+    """
     medians = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("g_rows"), *[F.percentile(f"q_x_{k}", F.lit(0.5)).alias(f"m_{k}") for k in VECTOR])
     medians = materialize(medians, "medians")
     off = rows.join(medians, _same_group(rows, medians)).select(*[rows[g] for g in GROUP], medians["g_rows"], *[medians[f"m_{k}"] for k in VECTOR], *[F.abs(rows[f"q_x_{k}"] - F.col(f"m_{k}")).alias(f"a_{k}") for k in VECTOR])
     spread = off.groupBy(*GROUP).agg(F.first("g_rows").alias("g_rows"), *[(F.first(f"m_{k}") / GRID).alias(f"m_{k}") for k in VECTOR], *[F.percentile(f"a_{k}", F.lit(0.5)).alias(f"a_{k}") for k in VECTOR])
-    spread = spread.withColumns({f"c_{i}_{j}": (F.greatest(F.pow(F.col(f"a_{a}") * 1.4826 / GRID, 2), F.lit(VECTOR[a] ** 2)) if i == j else F.lit(0.0)) for i, a in enumerate(VECTOR) for j in range(i + 1)})
-    return _factor(spread).drop(*[f"a_{k}" for k in VECTOR], *[f"c_{i}_{j}" for i in range(len(VECTOR)) for j in range(i + 1)])
+    spread = spread.withColumns({f"c_{i}_{j}": (F.pow(F.col(f"a_{a}") * 1.4826 / GRID, 2) + F.lit(VECTOR[a] ** 2) if i == j else F.lit(0.0)) for i, a in enumerate(VECTOR) for j in range(i + 1)})
+    first = materialize(_factor(spread).select(*GROUP, "g_rows", *MODEL), "mcd-medians")
+    near = F.lit(True)
+    for i, k in enumerate(VECTOR):
+        near = near & (F.abs(F.col(f"q_x_{k}") / GRID - F.col(f"m_{k}")) <= 3 * F.col(f"l_{i}_{i}"))
+    joined = rows.join(first, _same_group(rows, first)).select(*[rows[g] for g in GROUP], first["g_rows"], *[rows[n] for n in _names()], F.when(near, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("of"))
+    total = joined.withColumn("g_start", F.explode("of")).groupBy(*GROUP, "g_start").agg(F.first("g_rows").alias("g_rows"), F.count(F.lit(1)).alias("n"), *[c.cast("double").alias(k) for k, c in _sums().items()])
+    return materialize(first.withColumn("g_start", F.lit(0)).unionByName(_estimate(total, [*GROUP, "g_start"], 1.0)), "mcd-starts")
 
 
 def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step: the nearest COVERED share of each group gives its new mean and covariance."""
-    near = rows.join(model, _same_group(rows, model)).select(*[rows[g] for g in GROUP], model["g_rows"], *[rows[n] for n in _names()], F.least(F.greatest(F.floor(8 * F.log2(_distance() + 1e-3)) + 40, F.lit(0)), F.lit(BINS - 1)).cast("int").alias("bin"))
-    names = _names()
-    sums = {f"s_{i}": F.sum(a) for i, a in enumerate(names)} | {f"p_{i}_{j}": F.sum(F.col(a) * F.col(names[j])) for i, a in enumerate(names) for j in range(i + 1)}
-    binned = near.groupBy(*GROUP, "bin").agg(F.first("g_rows").alias("g_rows"), F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()])
-    nearer = Window.partitionBy(*GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    """One concentration step of every start: the nearest COVERED share of each group gives its new mean and covariance."""
+    by = [*GROUP, "g_start"]
+    near = rows.join(model, _same_group(rows, model)).select(*[rows[g] for g in GROUP], model["g_start"], model["g_rows"], *[rows[n] for n in _names()], F.least(F.greatest(F.floor(8 * F.log2(_distance() + 1e-3)) + 40, F.lit(0)), F.lit(BINS - 1)).cast("int").alias("bin"))
+    sums = _sums()
+    binned = near.groupBy(*by, "bin").agg(F.first("g_rows").alias("g_rows"), F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()])
+    nearer = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     used = binned.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).filter(F.col("before") < F.ceil(F.col("g_rows") * COVERED))
-    total = used.groupBy(*GROUP).agg(F.first("g_rows").alias("g_rows"), F.sum("n").alias("n"), *[F.sum(k).cast("double").alias(k) for k in sums])
-    model = total.withColumns({f"m_{k}": F.col(f"s_{i}") / F.col("n") / GRID for i, k in enumerate(VECTOR)})
-    d = len(VECTOR)
-    # The nearest share of a normal sample is narrower than the sample; median of chi-square over its 0.75 quantile.
-    wider = 1.6
-    model = model.withColumns({
-        f"c_{i}_{j}": (F.col(f"p_{i}_{j}") / F.col("n") / GRID**2 - F.col(f"m_{a}") * F.col(f"m_{b}")) * wider + (F.lit(VECTOR[a] ** 2) if i == j else F.lit(0.0))
-        for i, a in enumerate(VECTOR) for j, b in enumerate(VECTOR) if j <= i
-    })
-    return _factor(model).select(*GROUP, "g_rows", *[f"m_{k}" for k in VECTOR], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)])
+    total = used.groupBy(*by).agg(F.first("g_rows").alias("g_rows"), F.sum("n").alias("n"), *[F.sum(k).cast("double").alias(k) for k in sums])
+    return _estimate(total, by, CONSISTENT)
+
+
+def _least(models: DataFrame) -> DataFrame:
+    """Of each group's estimates, that of least determinant."""
+    whole = F.struct("g_start", "g_rows", *MODEL)
+    return models.groupBy(*GROUP).agg(F.min_by(whole, F.struct(_log_determinant(), F.col("g_start"))).alias("m")).select(*GROUP, "m.*")
 
 
 def fit(slim: DataFrame) -> DataFrame:
@@ -180,11 +226,18 @@ def fit(slim: DataFrame) -> DataFrame:
     slim: q_lang, q_source and the vector, cheap to read again. One row per (lang, source) that occurs.
     """
     rows = _by_levels(slim)
-    model = materialize(_start(rows), "mcd")
-    for _ in range(STEPS):
+    model = _starts(rows)
+    for _ in range(TRIAL_STEPS):
         model = materialize(_step(rows, model), "mcd")
+    model = materialize(_least(model), "mcd")
+    for _ in range(STEPS):
+        after = materialize(_least(_step(rows, model).unionByName(model)), "mcd")
+        fell = after.select(F.sum(_log_determinant())).first()[0] or 0.0
+        known = model.select(F.sum(_log_determinant())).first()[0] or 0.0
+        model = after
+        if fell > known - 1e-9:
+            break
     own = slim.select("q_lang", "q_source").distinct()
-    parts = [f"m_{k}" for k in VECTOR] + [f"l_{i}_{j}" for i in range(len(VECTOR)) for j in range(i + 1)]
     rank = F.struct((F.col("g_rows") >= MIN_GROUP).alias("a"), (-F.col("g_level")).alias("b"))
     # Three equi joins, one per level, instead of one condition that matches no key.
     out = None
@@ -195,7 +248,7 @@ def fit(slim: DataFrame) -> DataFrame:
             on = on & F.col(f"g_{c}").eqNullSafe(F.col(f"q_{c}"))
         hit = own.join(of if level else F.broadcast(of.limit(1)), on)
         out = hit if out is None else out.unionByName(hit)
-    best = out.groupBy("q_lang", "q_source").agg(F.max_by(F.struct(*parts), rank).alias("m"))
+    best = out.groupBy("q_lang", "q_source").agg(F.max_by(F.struct(*MODEL), rank).alias("m"))
     return materialize(best.select("q_lang", "q_source", "m.*"), "mcd-by-source")
 
 

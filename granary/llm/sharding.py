@@ -27,8 +27,11 @@ def virtual_nodes(shards: int, each: int = VIRTUAL_NODES) -> list[tuple[int, int
     return sorted((place(s, v), s) for s in range(shards) for v in range(each))
 
 
-def place_cells(sizes: dict[int, int], shards: int, slack: float = SLACK) -> list[tuple[int, int, int, int]]:
-    """(cell, shard, from byte, to byte) for every cell. The input is bounded by the ring, not by the data."""
+def place_cells(sizes: dict[int, int], shards: int, slack: float = SLACK, at_cell: dict[int, int] | None = None) -> list[tuple[int, int, int, int]]:
+    """(cell, shard, from byte, to byte) for every cell. The input is bounded by the ring, not by the data.
+
+    at_cell: where on the ring a text lies that is placed by itself, under a number of its own.
+    """
     nodes = virtual_nodes(shards)
     cells, total = [c for c, _ in nodes], sum(sizes.values())
     cap = -(-int(total * (1 + slack)) // shards) + 1
@@ -36,7 +39,7 @@ def place_cells(sizes: dict[int, int], shards: int, slack: float = SLACK) -> lis
     out = []
     large = cap // 64
     for cell in sorted(sizes, key=lambda c: (-max(sizes[c], large), c)):  # hot groups first, then clockwise
-        at = bisect.bisect_left(cells, cell)
+        at = bisect.bisect_left(cells, (at_cell or {}).get(cell, cell))
         clockwise = list(dict.fromkeys(nodes[(at + i) % len(nodes)][1] for i in range(len(nodes))))
         whole = next((s for s in clockwise if room[s] >= sizes[cell]), None)
         if whole is not None:
@@ -65,12 +68,26 @@ def assign_shards(docs: DataFrame, shards: int = 8, text: str = "text", doc_id:
         F.col(doc_id).cast("long").alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.xxhash64(body).alias("key"),
         F.shiftrightunsigned(F.xxhash64(body), 64 - RING_BITS).cast("int").alias("cell"),
         F.monotonically_increasing_id().alias("uid"),
     ), "shard-sizes")
     rows = slim.count()
     sizes = {r["cell"]: r["size"] for r in slim.groupBy("cell").agg(F.sum("size").alias("size")).collect()}  # at most 2 ** RING_BITS rows
     plan = place_cells(sizes, shards, slack)
+    split = sorted({c for c, _, a, b in plan if b - a < sizes[c]})
+    if split:  # Large texts of such cells are placed by themselves, so that only they are split: 64 * shards at most.
+        cells = F.broadcast(spark.createDataFrame([(c,) for c in split], "_cell int"))
+        of = slim.join(cells, F.col("cell") == F.col("_cell"), "left_semi").groupBy("cell", "key").agg(F.sum("size").alias("size"))
+        large = of.filter(F.col("size") > sum(sizes.values()) // (64 * shards)).orderBy("cell", "key").collect()
+        own = {(r["cell"], r["key"]): (1 << RING_BITS) + i for i, r in enumerate(large)}
+        for r in large:
+            sizes[r["cell"]] -= r["size"]
+            sizes[own[r["cell"], r["key"]]] = r["size"]
+        plan = place_cells(sizes, shards, slack, {n: c for (c, _), n in own.items()})
+        named = F.broadcast(spark.createDataFrame([(c, k, n) for (c, k), n in own.items()], "_cell int, _key long, _own int"))
+        slim = slim.join(named, (F.col("cell") == F.col("_cell")) & (F.col("key") == F.col("_key")), "left")
+        slim = materialize(slim.withColumn("cell", F.coalesce("_own", "cell")).drop("_cell", "_key", "_own"), "shard-cells")
     whole = {c: s for c, s, a, b in plan if b - a == sizes[c]}
     parts = [p for p in plan if p[0] not in whole]
     whole_df = F.broadcast(spark.createDataFrame(list(whole.items()), "cell int, shard int"))

@@ -180,7 +180,11 @@ def compiled(model: str) -> Transducer:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     usable = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
-    return Transducer({sp.id_to_piece(i): -sp.get_score(i) for i in usable})
+    ranks = {sp.id_to_piece(i): -sp.get_score(i) for i in usable}
+    late = [t for t in ranks if RESET.search(t)]
+    if late:  # chunk maps rest on resets
+        raise ValueError(f"{model}: {len(late)} tokens hold a space mark after another character, such as {late[0]!r}")
+    return Transducer(ranks)
 
 
 def count_tokens(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK) -> DataFrame:

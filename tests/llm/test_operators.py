@@ -75,10 +75,34 @@ def test_sharding(docs, empty):
         assert slots == list(range(len(slots)))
     sizes = {i: len((t or "").encode()) + 1 for i, t, *_ in ROWS}
     assert all(g["size"] == sizes[g["doc_id"]] for g in got)
+    load, homes = Counter(), {}
+    for g in got:
+        load[g["shard"]] += g["size"]
+        homes.setdefault(next(t for i, t, *_ in ROWS if i == g["doc_id"]) or "", set()).add(g["shard"])
+    # Sizes are near equal, but for a row that is larger than what is near.
+    assert max(load.values()) <= sum(load.values()) / 3 * 1.003 + max(sizes.values()) and sum(len(h) > 1 for h in homes.values()) <= 2
     assert {g["doc_id"]: g["text_crc32"] for g in got} == {i: zlib.crc32((t or "").encode()) for i, t, *_ in ROWS}
     assert sharding.assign_shards(empty).count() == 0
 
 
+def test_sharding_splits_only_the_text_that_is_too_large(spark):
+    hot = "x" * 1000
+    cell = lambda t: spark.range(1).select(sharding.F.shiftrightunsigned(sharding.F.xxhash64(sharding.F.lit(t)), 64 - sharding.RING_BITS).alias("c")).first()["c"]
+    texts = spark.range(200000).select(sharding.F.concat(sharding.F.lit("t"), sharding.F.col("id").cast("string")).alias("t"))
+    texts = texts.filter(sharding.F.shiftrightunsigned(sharding.F.xxhash64("t"), 64 - sharding.RING_BITS) == cell(hot))
+    same_cell = [x["t"] for x in texts.collect()]
+    rows = [hot] * 300 + same_cell * 3 + [f"other {i}" for i in range(2000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sharding.assign_shards(df, 4).collect()
+    homes, load = {}, Counter()
+    for g in got:
+        homes.setdefault(rows[g["doc_id"]], set()).add(g["shard"])
+        load[g["shard"]] += g["size"]
+    assert len(same_cell) > 3 and len(got) == len(rows)
+    assert len(homes[hot]) == 4 and all(len(h) == 1 for t, h in homes.items() if t != hot)
+    assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values())
+
+
 def test_ring_moves_little_and_never_overflows():
     sizes = {c: 1 + c % 7 for c in range(0, 1 << sharding.RING_BITS, 3)}
     a = {c: s for c, s, *_ in sharding.place_cells(sizes, 8)}
@@ -107,6 +131,75 @@ def test_quality_rules(docs, empty):
     assert quality_rules.drop_outliers(docs).columns == docs.columns and quality_rules.drop_outliers(empty).count() == 0
 
 
+def mcd(x, floors):
+    """The estimate of one group in numpy: three starts, concentration steps by bins of distance, least determinant."""
+    n, grid = len(x), quality_rules.GRID
+    z = x / grid
+    cover = -(-n * 3 // 4)
+
+    def estimate(rows, factor):
+        m = rows.mean(axis=0)
+        return m, ((rows.T @ rows) / len(rows) - np.outer(m, m)) * factor + np.diag(floors**2)
+
+    def distance(m, c):
+        return np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m)
+
+    def step(m, c):
+        bins = np.clip(np.floor(8 * np.log2(distance(m, c) + 1e-3)) + 40, 0, quality_rules.BINS - 1)
+        before = np.array([(bins < b).sum() for b in bins])
+        return estimate(z[before < cover], quality_rules.CONSISTENT)
+
+    m = np.median(x, axis=0)
+    a = np.median(np.abs(x - m), axis=0)
+    first = (m / grid, np.diag((a * 1.4826 / grid) ** 2 + floors**2))
+    starts = [first, estimate(z, 1.0)]
+    near = (np.abs(z - first[0]) <= 3 * np.sqrt(np.diag(first[1]))).all(axis=1)
+    if near.any():
+        starts.append(estimate(z[near], 1.0))
+    determinant = lambda e: np.linalg.slogdet(e[1])[1]
+    for _ in range(quality_rules.TRIAL_STEPS):
+        starts = [step(*e) for e in starts]
+    best = min(starts, key=determinant)
+    for _ in range(quality_rules.STEPS):
+        best = min([best, step(*best)], key=determinant)
+    return distance(*best)
+
+
+def test_quality_outliers_by_brute_force(spark):
+    r = np.random.default_rng(4)
+    names = [f"q_x_{k}" for k in quality_rules.VECTOR]
+    rows = []
+    for lang, source, n in (("en", "a", 400), ("en", "b", 260), ("de", None, 230), ("fr", "c", 30)):
+        x = (np.abs(r.normal(0.2, 0.08, (n, 6))) * quality_rules.GRID).round().astype(int)
+        x[: n // 8, r.integers(0, 6)] += 1400  # a share of junk that would drag a plain mean along
+        rows += [(lang, source, 100, 0, *map(int, v)) for v in x]
+    df = spark.createDataFrame(rows, "q_lang string, q_source string, q_n_words long, q_n_repeat_words long, " + ", ".join(f"{c} long" for c in names)).repartition(3)
+    df = quality_rules.materialize(df, "test")
+    got = quality_rules._judged(df, quality_rules.fit(df)).toPandas()
+    floors = np.array(list(quality_rules.VECTOR.values()))
+    for (lang, source), own in got.groupby(["q_lang", "q_source"], dropna=False):
+        if len(own) < quality_rules.MIN_GROUP:  # the language's is as small: all rows'
+            whole = got[names].to_numpy()
+            want = mcd(whole, floors)[(got.q_lang == lang).to_numpy()]
+        else:
+            want = mcd(own[names].to_numpy(), floors)
+        assert np.allclose(own.q_distance, want, rtol=1e-6)
+        assert (own.q_kept == (want <= quality_rules.CUTOFF)).all()
+    assert 0.05 < 1 - got.q_kept.mean() < 0.2
+
+
+@pytest.mark.parametrize("odd", ["|" * 2 + "#$%&<>" * 3, "UPPER CASE", "!!!!!!!!!", "same line\n"])
+def test_quality_rejects_what_departs_in_one_statistic(spark, odd):
+    r = random.Random(6)
+    say = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(k))
+    rows = [(i, "\n".join(say(12) for _ in range(10))) for i in range(300)]
+    junk = {"UPPER CASE": lambda: "\n".join(say(12).upper() for _ in range(10)), "same line\n": lambda: "\n".join([say(9)] * 3 + [say(1)] * 40 + [say(50)])}
+    rows += [(1000 + i, junk.get(odd, lambda: say(120).replace(" ", f" {odd} "))()) for i in range(5)]
+    df = spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id long, text string, lang string, source string")
+    got = {g["doc_id"]: g for g in quality_rules.quality_verdicts(df).collect()}
+    assert all(not got[1000 + i]["kept"] for i in range(5)) and sum(got[i]["kept"] for i in range(300)) >= 298
+
+
 def test_token_counts(docs, empty):
     import sentencepiece
 
@@ -342,10 +435,30 @@ def test_quality_classifier_held_out(spark, docs, empty):
     got = quality_classifier.op1_quality_classifier(spark, directory).toPandas().merge(labels, on="doc_id")
     held = got[got.held_out]
     assert (held.predicted == held.quality).mean() > 0.93
+    again = quality_classifier.op1_quality_classifier(spark, directory).toPandas().set_index("doc_id").score
+    assert (again == got.set_index("doc_id").score.reindex(again.index)).loc[got.doc_id].all()  # reruns agree
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     assert quality_classifier.score_quality(docs, none).count() == len(ROWS) and quality_classifier.score_quality(empty, none).count() == 0
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled_rows():
+    r = np.random.default_rng(2)
+    for share in (0.3, 0.7, 0.9):
+        make = lambda n, mean: r.normal(mean, 1.0, (n, 5))
+        n = int(3000 * share)
+        unlabelled = np.concatenate([make(n, 1.0), make(3000 - n, -1.0)])
+        r.shuffle(unlabelled)
+        assert share - 0.15 < quality_classifier.estimated_prior(make(2000, 1.0), unlabelled) < share + 0.05
+
+
+def test_non_negative_risk_tells_classes_apart_without_negatives():
+    r = np.random.default_rng(2)
+    make = lambda n, mean: r.normal(mean, 1.0, (n, 5))
+    mean, scale, w, b = quality_classifier.fit_nnpu(make(800, 1.0), np.concatenate([make(1400, 1.0), make(600, -1.0)]), 0.7)
+    z = lambda x: (x - mean) / scale @ w + b
+    assert (z(make(2000, 1.0)) > 0).mean() > 0.95 and (z(make(2000, -1.0)) < 0).mean() > 0.9
+
+
 def test_pipeline_stages(spark, docs, empty):
     import corpus_pipeline
 
@@ -358,6 +471,19 @@ def test_pipeline_stages(spark, docs, empty):
     assert x.count() > 0
 
 
+def test_stages_keep_clashing_columns(spark, docs):
+    import corpus_pipeline
+
+    names = {"n_chars": "_id", "digest": "_own_digest", "size": "gone_0", "uid": "_row"}
+    for ids in (docs, docs.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        x = ids.withColumnsRenamed(names)
+        want = [*x.columns]
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            x = stage(spark, x, "")
+            assert x.columns == want and x.count() > 0, name
+        assert corpus_pipeline.STAGES[-1][1](spark, x, "").count() > 0
+
+
 def test_near_copies_with_repeated_and_null_ids(spark):
     import corpus_pipeline
 
