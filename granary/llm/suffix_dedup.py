@@ -108,7 +108,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return np.searchsorted(offsets, at, side="right") - 1, at, h[at], lo, hi
 
 
-ANCHORED = "digest binary, words boolean, n int, hash array<long>, run array<long>, place array<int>, lo array<int>, hi array<int>"
+ANCHORED = "uid long, digest binary, words boolean, n int, hash array<long>, run array<long>, place array<int>, lo array<int>, hi array<int>"
 
 
 def anchored(slim: DataFrame, units: list[Unit]) -> DataFrame:
@@ -126,10 +126,10 @@ def anchored(slim: DataFrame, units: list[Unit]) -> DataFrame:
                     ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]), pa.int32())
                     columns = [unit.named(h).view(np.int64), run.view(np.int64), *[x.astype(np.int32) for x in (at - offsets[of], lo, hi)]]
                     lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
-                    own = [batch.column("digest").slice(i, n), pa.array(np.full(n, unit.words)), pa.array(np.diff(offsets), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*own, *lists], names=["digest", "words", "n", "hash", "run", "place", "lo", "hi"])
+                    own = [*[batch.column(c).slice(i, n) for c in ("uid", "digest")], pa.array(np.full(n, unit.words)), pa.array(np.diff(offsets), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*own, *lists], names=["uid", "digest", "words", "n", "hash", "run", "place", "lo", "hi"])
 
-    return slim.mapInArrow(find, ANCHORED)
+    return slim.select(F.monotonically_increasing_id().alias("uid"), "digest", "text").mapInArrow(find, ANCHORED)
 
 
 def _flat(batch: pa.RecordBatch, column: str, i: int, n: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -344,20 +344,22 @@ def repeated_spans(slim: DataFrame, copies: DataFrame, units: list[Unit], keep_f
     slim: doc_id, text, digest. copies: digest, copies, rep. Of equal texts, one is judged.
     """
     least = min(u.least_bytes() for u in units)
-    lists = materialize(anchored(slim.filter(F.octet_length("text") >= least).select("digest", "text"), units), "anchors")
+    lists = materialize(anchored(slim.filter(F.octet_length("text") >= least), units), "anchors")
     at_lists = mark() - 1
+    reps = materialize(lists.groupBy("digest").agg(F.min("uid").alias("_uid")), "chosen")
     sizes = materialize(lists.filter("words").select("digest", "n").dropDuplicates(["digest"]), "sizes")
-    if keep_first:
+    if keep_first:  # equal texts are one text, else each counts
+        lists = lists.join(reps, F.col("uid") == F.col("_uid"), "left_semi")
         lists = _same(lists, copies.select(F.col("digest").alias("_digest"), "rep"), ["digest"])
     rep = F.coalesce("rep", F.lit(-(2**63)))
-    marks = lists.select("digest", F.xxhash64("digest").alias("owner"), "words", *([rep.alias("rep")] if keep_first else []), F.inline(F.arrays_zip("hash", "run", "place", "lo", "hi")))
-    place = F.xxhash64("digest", "place")
+    # From here to the lists of marks, a row is a mark: a text goes by a number, and its digest only where it orders.
+    order = [rep.alias("rep"), "digest"] if keep_first else []
+    marks = lists.select("uid", F.xxhash64("digest").alias("owner"), "words", *order, F.inline(F.arrays_zip("hash", "run", "place", "lo", "hi")))
+    place = F.xxhash64("owner", "place")
     # Of words, the first and the last place stand in different texts if any two do.
     apart = F.col("owner").bitwiseAND(F.lit(-(2**32))).bitwiseOR(place.bitwiseAND(F.lit(2**32 - 1)))
-    marks = marks.withColumn("at", F.struct("rep", "digest", "place") if keep_first else F.when(F.col("words"), apart).otherwise(place))
-    # Equal texts hold equal anchors: where the first stays they are one text, else each counts.
-    each = marks.dropDuplicates(["digest", "place", "hash"]) if keep_first else marks
-    runs = materialize(_counted(each, ["hash", "run"], "run"), "runs")
+    at = F.struct("rep", "digest", "place") if keep_first else F.when(F.col("words"), apart).otherwise(place)
+    runs = materialize(_counted(marks.withColumn("at", at), ["hash", "run"], "run"), "runs")
     at_runs = mark() - 1
     # How many occurrences go on: of runs that repeat one, of others each.
     tells = F.sum(F.when(F.col("run_many"), 1).otherwise(F.col("run_n")))
@@ -365,13 +367,13 @@ def repeated_spans(slim: DataFrame, copies: DataFrame, units: list[Unit], keep_f
     shared = materialize(runs.join(per, F.col("_hash") == F.col("_h")).select("_hash", "_run", "run_first", "run_last", "run_many", (F.col("kinds") > 1).alias("others"), (F.col("lone") > 0).alias("lone"), (F.col("tells") > GROUP).alias("hot")), "shared-runs")
     at_shared = mark() - 1
     discard(at_runs)
-    mine = (F.col("at") == F.col("run_first")) | (F.col("words") & (F.col("at") == F.col("run_last")))
+    mine = (at == F.col("run_first")) | (F.col("words") & (at == F.col("run_last")))
     first_stays = ~F.col("words") if keep_first else F.lit(False)
     gone = F.col("run_many") & ~(first_stays & mine)
     tell = F.col("others") & (~F.col("run_many") & ~first_stays | mine & (F.col("lone") | first_stays))
-    hits = _same(each, shared, ["hash", "run"]).select("digest", F.struct("words", "hash", "place", "lo", "hi", gone.alias("gone"), tell.alias("tell"), "hot").alias("m"))
-    # A set, since copies bring equal marks: it is no larger than one text's.
-    hits = hits.filter("m.gone or m.tell").groupBy(F.col("digest").alias("_digest")).agg(F.collect_set("m").alias("marks"))
+    hits = _same(marks, shared, ["hash", "run"]).select("uid", F.struct("words", "hash", "place", "lo", "hi", gone.alias("gone"), tell.alias("tell"), "hot").alias("m"))
+    hits = hits.filter("m.gone or m.tell").groupBy("uid").agg(F.collect_list("m").alias("marks"))
+    hits = hits.join(reps, F.col("uid") == F.col("_uid")).select(F.col("digest").alias("_digest"), "marks")  # one of equal texts
     hits = hits.join(copies, F.col("_digest") == F.col("digest")).drop("digest")
     # Copies are decided as wholes, and are read on only to be met by others; where the first stays, its bytes are not.
     needed = F.filter("marks", lambda m: m["tell"] | (~m["words"] if keep_first else F.lit(False)))
