@@ -121,3 +121,46 @@ def point_along(line: Column, share: Column) -> Column:
         return F.when(all_["km"] == 0, F.struct(first["x"].alias("x"), first["y"].alias("y"), F.lit(0.0).alias("km"))).otherwise(there)
 
     return F.element_at(F.transform(F.array(F.aggregate(numbers, start, add)), place), 1)
+
+
+# Kilometres of a degree of latitude, and the least cosine that a box's width is divided by.
+KM_PER_DEGREE, LEAST_COSINE = 111.0, 1e-6
+
+
+def box_around(lat: Column, lon: Column, km: Column) -> tuple[Column, Column, Column, Column]:
+    """(lat low, lat high, lon low, lon high) of a box that reaches km from a point."""
+    up = km / KM_PER_DEGREE
+    side = km / (KM_PER_DEGREE * F.greatest(F.cos(F.radians(lat)), F.lit(LEAST_COSINE)))
+    return lat - up, lat + up, lon - side, lon + side
+
+
+def _band(lat: Column, km: float) -> Column:
+    return F.floor((lat + 90) / (km / 111.0))
+
+
+def _width(band: Column, km: float) -> Column:
+    """Degrees of longitude that km may reach from or into a band of latitude: those at its outer neighbour's far edge."""
+    step = km / 111.0
+    edge = F.least(F.greatest(F.abs(band * step - 90 - step), F.abs(band * step - 90 + 2 * step)), F.lit(90.0))
+    return F.least(F.lit(360.0), km / 111.0 / F.greatest(F.cos(F.radians(edge)), F.lit(1e-6)))
+
+
+def reach_cell(lat: Column, lon: Column, km: float) -> Column:
+    """The cell of a point: bands of latitude as high as km, cut into cells at least as wide as km there."""
+    band = _band(lat, km)
+    return F.concat_ws(":", band.cast("string"), F.floor((lon + 180) / _width(band, km)).cast("string"))
+
+
+def reach_cells(lat: Column, lon: Column, km: float) -> Column:
+    """Cells that hold every point within km, by reach_cell, across the 180th meridian too: an array to explode."""
+    around = F.sequence(F.lit(-1), F.lit(1))
+
+    def of(b: Column) -> Column:
+        band = _band(lat, km) + b
+        width = _width(band, km)
+        last = F.floor(F.lit(360.0) / width)
+        at = F.floor((lon + 180) / width)
+        # The last cell of a band may be narrow, so both ends look one further round.
+        return F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.concat_ws(":", band.cast("string"), F.pmod(at + k, last + 1).cast("string")))
+
+    return F.array_distinct(F.flatten(F.transform(around, of)))

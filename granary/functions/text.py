@@ -21,6 +21,11 @@ def empty_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def pick(columns: list[str], separator: str = " ") -> Column:
+    """The filled ones of some columns, trimmed, joined; null if none is filled."""
+    return empty_to_null(F.concat_ws(separator, *[empty_to_null(F.col(c)) for c in columns]))
+
+
 def tokens(c: Column) -> Column:
     """Lower-case words of letters, digits, apostrophes, underscores and hyphens."""
     return F.filter(F.split(F.lower(c), "[^a-z0-9'_-]+"), lambda w: w != "")

@@ -1,6 +1,9 @@
 """Record linkage: blocking, comparison levels, scores, decisions, clusters."""
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +65,19 @@ def connected(edges: DataFrame, nodes: DataFrame, write) -> DataFrame:
         now = after.select("node", "label")
 
 
-def closure(parents: DataFrame, most: int = 32) -> DataFrame:
-    """(id, ancestor, depth), a place itself at depth 0; stops at a missing parent, at 0 or less, and at a cycle."""
+def closure(parents: DataFrame, write: Callable[[DataFrame], DataFrame], each: int = 8) -> DataFrame:
+    """(id, ancestor, depth), a place itself at depth 0; stops at a missing parent, at 0 or less, and at a cycle.
+
+    However deep: levels go on until none is left. write ends a DataFrame's lineage, after every `each` levels.
+    """
     out = frontier = parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("_path"))
     up = parents.select(F.col("id").alias("_at"), F.col("parent_id").alias("_up"))
-    for depth in range(1, most):
+    for depth in count(1):
         frontier = frontier.join(up, F.col("ancestor") == F.col("_at")).filter((F.col("_up") > 0) & ~F.array_contains("_path", F.col("_up")))
         frontier = frontier.join(parents.select(F.col("id").alias("_real")), F.col("_up") == F.col("_real"), "left_semi")
         frontier = frontier.select("id", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("_path", F.array("_up")).alias("_path"))
-        out = out.unionByName(frontier)
+        if depth % each == 0:
+            out, frontier = write(out), write(frontier)
         if frontier.isEmpty():
-            break
-    return out.drop("_path")
+            return out.drop("_path")
+        out = out.unionByName(frontier)

@@ -11,7 +11,7 @@ from granary.plans.registry import query
 from granary.plans.tables import table
 
 WORDS = "string_split(lower(p_name), ' ')"
-PAIRS = f"""WITH e AS (SELECT DISTINCT p_partkey AS id, unnest({WORDS}) || p_size AS k FROM part), f AS (SELECT k FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
+PAIRS = f"""WITH e AS (SELECT DISTINCT p_partkey AS id, unnest({WORDS}) || p_size AS k FROM part), f AS (SELECT k FROM e GROUP BY 1 HAVING count(*) >= 2),
  p AS (SELECT DISTINCT a.id AS lo, b.id AS hi FROM e a JOIN e b ON a.k = b.k AND a.id < b.id WHERE a.k IN (SELECT k FROM f))"""
 JACCARD = "len(list_intersect({0}, {1})) / CAST(len(list_distinct(list_concat({0}, {1}))) AS DOUBLE)"
 
@@ -21,7 +21,7 @@ def _keys():
 
 
 def _pairs(spark, d):
-    """All pairs that share a word and a size. PAIRS leaves out blocks of more than 40 rows, of which sf0.01 has none."""
+    """All pairs that share a word and a size."""
     return L.blocking_pairs(table(spark, d, "part"), _keys(), "p_partkey")
 
 
@@ -48,9 +48,10 @@ def lnk_blocking(spark, d):
     return _pairs(spark, d)
 
 
-@query("lnk_dropped_keys", f"SELECT k AS key, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest({WORDS}) AS k FROM part) GROUP BY 1 HAVING count(*) > 40")
+@query("lnk_dropped_keys", f"SELECT k AS key, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest({WORDS}) || p_size AS k FROM part) GROUP BY 1 HAVING count(*) > 8")
 def lnk_dropped_keys(spark, d):
-    return L.dropped_keys(table(spark, d, "part"), F.split(F.lower("p_name"), " "), 40)
+    """The keys of lnk_blocking whose blocks a cap of 8 rows would drop."""
+    return L.dropped_keys(table(spark, d, "part"), _keys(), 8)
 
 
 @query("lnk_score_pairs", PAIRS + ", " + LEVELS + f" SELECT lo, hi, name_level, brand_level, round(weight, 9) AS weight, CASE WHEN {PROBABILITY} >= 0.5 THEN 'match' WHEN {PROBABILITY} <= 0.001 THEN 'non-match' ELSE 'review' END AS decision FROM w")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import linkage as L
 from granary.operators import stats as S
+from granary.operators.lineage import cut
 from granary.plans.registry import query
 from granary.plans.tables import PLACES, places, table
 
@@ -204,13 +205,13 @@ CLOSURE = f"WITH RECURSIVE p AS {PLACES}, c AS (SELECT id, id AS ancestor, 0 AS
 
 @query("rec_closure", CLOSURE + " SELECT id, ancestor, depth FROM c")
 def rec_closure(spark, d):
-    return L.closure(places(spark, d))
+    return L.closure(places(spark, d), cut)
 
 
 @query("rec_lineage", CLOSURE + " SELECT c.id, string_agg(p.name, ' < ' ORDER BY depth) AS lineage FROM c JOIN p ON p.id = c.ancestor WHERE depth > 0 GROUP BY 1")
 def rec_lineage(spark, d):
     p = places(spark, d)
-    up = L.closure(p).filter("depth > 0").join(p.select(F.col("id").alias("ancestor"), "name"), "ancestor")
+    up = L.closure(p, cut).filter("depth > 0").join(p.select(F.col("id").alias("ancestor"), "name"), "ancestor")
     names = F.transform(F.sort_array(F.collect_list(F.struct("depth", "name"))), lambda x: x["name"])
     return up.groupBy("id").agg(F.array_join(names, " < ").alias("lineage"))
 
@@ -218,7 +219,7 @@ def rec_lineage(spark, d):
 @query("agg_placetype_census", CLOSURE + " SELECT c.ancestor, p.placetype, count(*) AS n FROM c JOIN p ON p.id = c.id WHERE depth > 0 GROUP BY 1, 2")
 def agg_placetype_census(spark, d):
     p = places(spark, d)
-    return L.closure(p).filter("depth > 0").join(p.select("id", "placetype"), "id").groupBy("ancestor", "placetype").agg(F.count(F.lit(1)).alias("n"))
+    return L.closure(p, cut).filter("depth > 0").join(p.select("id", "placetype"), "id").groupBy("ancestor", "placetype").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("join_closure_self", CLOSURE + " SELECT a.name, count(DISTINCT c.id) AS children FROM c JOIN p a ON a.id = c.ancestor JOIN p b ON b.id = c.id WHERE a.placetype = 'region' AND b.placetype = 'nation' GROUP BY 1")
@@ -226,13 +227,13 @@ def join_closure_self(spark, d):
     p = places(spark, d)
     a = p.filter("placetype = 'region'").select(F.col("id").alias("ancestor"), "name")
     b = p.filter("placetype = 'nation'").select("id")
-    return L.closure(p).join(a, "ancestor").join(b, "id").groupBy("name").agg(F.countDistinct("id").alias("children"))
+    return L.closure(p, cut).join(a, "ancestor").join(b, "id").groupBy("name").agg(F.countDistinct("id").alias("children"))
 
 
 @query("win_dfs_labels", CLOSURE + ", t AS (SELECT id, string_agg(lpad(CAST(ancestor AS VARCHAR), 9, '0'), '/' ORDER BY depth DESC) AS path FROM c GROUP BY 1), s AS (SELECT ancestor AS id, count(*) AS n FROM c GROUP BY 1) SELECT id, row_number() OVER (ORDER BY path) - 1 AS pre, row_number() OVER (ORDER BY path) - 1 + n AS post FROM t JOIN s USING (id)")
 def win_dfs_labels(spark, d):
     """Pre-order by materialized path; a place's interval is as wide as its subtree."""
-    c = L.closure(places(spark, d))
+    c = L.closure(places(spark, d), cut)
     path = F.array_join(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("depth", "ancestor")))), lambda x: F.lpad(x["ancestor"].cast("string"), 9, "0")), "/")
     t = c.groupBy("id").agg(path.alias("path"))
     n = c.groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n"))

@@ -47,3 +47,35 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = row(r, F.col("r_regionkey") + 1, F.lit(-1), "r_name", "region")
     out = out.unionByName(row(n, F.col("n_nationkey") + 101, F.col("n_regionkey") + 1, "n_name", "nation"))
     return out.unionByName(row(c, F.col("c_custkey") + 1000, F.col("c_nationkey") + 101, "c_name", "customer"))
+
+
+def pick_by_key(values: list[str], key: str) -> tuple[Column, str]:
+    """The same choice by a key, as a column and as SQL."""
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int")), f"[{quoted}][CAST({key} % {len(values)} + 1 AS INTEGER)]"
+
+
+_DIRECTION = pick_by_key(["", "N ", "SW ", "", "East "], "c_custkey")
+_STREET = pick_by_key(["Oak", "Main", "Élan", "Maple Hill", "St. Louis", "O’Neil", "Broadway"], "c_custkey")
+_KIND = pick_by_key([" St", " Ave.", " Blvd", "", " Rd", " Lane"], "c_custkey")
+_TOWN = pick_by_key(["Springfield", "Köln", "Saint-Étienne", "Oslo", "Portland", "Łódź", "New York", "Ávila"], "c_custkey")
+_REGION = pick_by_key(["OR", "TX", "NY", "CA", "WA"], "c_custkey")
+_COUNTRY = pick_by_key(["US", "DE", "FR", "NO", "US", "PL", "US", "ES"], "c_custkey")
+
+_NUMBER = "CAST(c_custkey * 7 % 990 + 1 AS VARCHAR)"
+_ZIP = "lpad(CAST(c_custkey * 379 % 90000 + 10000 AS VARCHAR), 5, '0')"
+#: An address for each customer, fixed by its key.
+ADDRESSES = f"""(SELECT c_custkey AS id, {_NUMBER} AS house_number, {_DIRECTION[1]} || {_STREET[1]} || {_KIND[1]} AS street, {_TOWN[1]} AS locality, {_REGION[1]} AS region, {_ZIP} AS postcode, {_COUNTRY[1]} AS country,
+ {_NUMBER} || ' ' || {_DIRECTION[1]} || {_STREET[1]} || {_KIND[1]} || ', ' || {_TOWN[1]} || ', ' || {_REGION[1]} || ' ' || {_ZIP} AS raw FROM customer)"""
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ADDRESSES as a DataFrame."""
+    number = (F.col("c_custkey") * 7 % 990 + 1).cast("string")
+    postcode = F.lpad((F.col("c_custkey") * 379 % 90000 + 10000).cast("string"), 5, "0")
+    street = F.concat(_DIRECTION[0], _STREET[0], _KIND[0])
+    raw = F.concat(number, F.lit(" "), street, F.lit(", "), _TOWN[0], F.lit(", "), _REGION[0], F.lit(" "), postcode)
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), number.alias("house_number"), street.alias("street"), _TOWN[0].alias("locality"),
+        _REGION[0].alias("region"), postcode.alias("postcode"), _COUNTRY[0].alias("country"), raw.alias("raw"),
+    )
