@@ -63,7 +63,7 @@ def known_formats(c: Column) -> Column:
 
 def segments(c: Column) -> Column:
     """Parts between commas, semicolons and line ends, trimmed; empty ones are left out."""
-    return F.filter(F.transform(F.split(c, "[,;\\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[,;\\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def whitespace_pattern(c: Column) -> Column:
