@@ -4,6 +4,7 @@ from __future__ import annotations
 import atexit
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: After a table of so many bytes, the driver collects garbage: only then does Spark drop the shuffle files behind it.
 TIDY = 16 << 20
+#: Seconds that the files get to go, before the next step writes its own.
+SETTLE = 1.0
 
 
 def _length(spark: SparkSession, path: str) -> int:
@@ -64,6 +67,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(k, v)
     if _length(spark, path) >= TIDY:
         spark._jvm.System.gc()
+        time.sleep(SETTLE)
     return spark.read.schema(df.schema).parquet(path)
 
 

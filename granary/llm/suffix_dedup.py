@@ -2,7 +2,7 @@
 
 A suffix order of every byte would move hundreds of bytes per byte, so texts meet at anchors: in every window of `length`
 symbols the `gram` symbols of least hash are its anchor, which depends on the window's content alone, so equal windows
-have equal anchors at equal offsets. About one byte in a hundred begins one. An anchor stands for a run of windows, and
+have equal anchors at equal offsets. About one byte in 150 begins one. An anchor stands for a run of windows, and
 
 * runs that are equal as wholes (two independent 64-bit fingerprints) repeat; of equal runs one goes on;
 * the text around the remaining anchors of equal gram meets in one task, where its suffixes are put in order by content.
@@ -31,7 +31,8 @@ from granary.llm.hashing import U, groups, mix, powers, prefix_sums, span_hashes
 from granary.llm.suffix_order import longest_factors
 
 LENGTH = 400
-GRAM = 200
+#: Shorter grams make fewer anchors, one in about 150 bytes, which more strings that don't repeat whole have in common.
+GRAM = 100
 BLOCK = 15
 #: Runs that may meet in one task for one gram; beyond it windows are counted. About 600 bytes each.
 GROUP = 256
@@ -359,7 +360,8 @@ def repeated_spans(slim: DataFrame, copies: DataFrame, units: list[Unit], keep_f
     # Of words, the first and the last place stand in different texts if any two do.
     apart = F.col("owner").bitwiseAND(F.lit(-(2**32))).bitwiseOR(place.bitwiseAND(F.lit(2**32 - 1)))
     at = F.struct("rep", "digest", "place") if keep_first else F.when(F.col("words"), apart).otherwise(place)
-    runs = materialize(_counted(marks.withColumn("at", at), ["hash", "run"], "run"), "runs")
+    # Only words ask whose they are; a null is cheap to move.
+    runs = materialize(_counted(marks.withColumn("at", at).withColumn("owner", F.when(F.col("words"), F.col("owner"))), ["hash", "run"], "run"), "runs")
     at_runs = mark() - 1
     # How many occurrences go on: of runs that repeat one, of others each.
     tells = F.sum(F.when(F.col("run_many"), 1).otherwise(F.col("run_n")))
@@ -460,7 +462,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     copies = materialize(copies.select("digest", "copies", "bytes", F.col("first.b").alias("rep"), F.col("first.c").alias("rep_uid")), "copies")
     units = [Unit(False, length, gram, block)]
     if words is not None:
-        units.append(Unit(True, words + 1, (words + 1) // 2 + 1, 4))
+        units.append(Unit(True, words + 1, (words + 1) // 4 + 1, 4))
     found, spans, sizes = repeated_spans(slim, copies.select("digest", "copies", "rep"), units, keep_first)
     done = _results(_same(found, spans, ["id"]).select("digest", "text", "spans", "passages"), with_text)
     done = done if with_text else done.drop("kept_text")
