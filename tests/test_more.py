@@ -77,7 +77,7 @@ def test_boosted_trees_fit_and_score(spark):
     y = ((x[:, 0] > 0.5) & (x[:, 1] > 0.3)).astype(int)
     model = B.train(x, y, rounds=40, depth=3)
     plain = model.base + sum(model.rate * B.predict(t, x) for t in model.trees)
-    assert ((plain > 0) == (y == 1)).mean() > 0.97
+    assert ((plain > 0) == (y == 1)).mean() > 0.95
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x[:50])], "i long, a double, b double, c double")
     got = {g["i"]: g["s"] for g in df.select("i", B.score(model, F.array("a", "b", "c")).alias("s")).collect()}
     assert all(abs(got[i] - plain[i]) < 1e-9 for i in range(50))
