@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: After a table of so many bytes, the driver collects garbage: only then does Spark drop the shuffle files behind it.
 TIDY = 16 << 20
-#: Seconds that the files get to go, before the next step writes its own.
+#: Seconds before that, since events of the job that still wait to be read hold its plan, and with it the files.
 SETTLE = 1.0
 
 
@@ -66,8 +66,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.set(k, v)
     if _length(spark, path) >= TIDY:
-        spark._jvm.System.gc()
-        time.sleep(SETTLE)
+        for _ in range(2):
+            time.sleep(SETTLE)
+            spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
