@@ -12,7 +12,8 @@ have equal anchors at equal offsets. About one byte in a hundred begins one. An
   their windows are counted by fingerprints instead, first in blocks of windows, by their union (equal: all repeat)
   and their core, the symbols that all hold (unique: none repeats), and window by window where neither decides.
 
-Each counting step is an aggregation with map-side sums and a join that Spark may split. Documents are keyed by the
+Each counting step is an aggregation with map-side sums and a join that Spark may split; the smaller side of the largest
+joins, unique by its key, is hashed and the other not sorted. Documents are keyed by the
 digest of their text: copies are decided once. Symbols are bytes, or words by 64-bit hashes.
 """
 from __future__ import annotations
@@ -363,14 +364,14 @@ def repeated_spans(slim: DataFrame, copies: DataFrame, units: list[Unit], keep_f
     # How many occurrences go on: of runs that repeat one, of others each.
     tells = F.sum(F.when(F.col("run_many"), 1).otherwise(F.col("run_n")))
     per = runs.groupBy(F.col("_hash").alias("_h")).agg(F.sum("run_n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.count_if(~F.col("run_many")).alias("lone"), tells.alias("tells")).filter("total > 1")
-    shared = materialize(runs.join(per, F.col("_hash") == F.col("_h")).select("_hash", "_run", "run_first", "run_last", "run_many", (F.col("kinds") > 1).alias("others"), (F.col("lone") > 0).alias("lone"), (F.col("tells") > GROUP).alias("hot")), "shared-runs")
+    shared = materialize(runs.join(per.hint("shuffle_hash"), F.col("_hash") == F.col("_h")).select("_hash", "_run", "run_first", "run_last", "run_many", (F.col("kinds") > 1).alias("others"), (F.col("lone") > 0).alias("lone"), (F.col("tells") > GROUP).alias("hot")), "shared-runs")
     at_shared = mark() - 1
     discard(at_runs)
     mine = (F.col("at") == F.col("run_first")) | (F.col("words") & (F.col("at") == F.col("run_last")))
     first_stays = ~F.col("words") if keep_first else F.lit(False)
     gone = F.col("run_many") & ~(first_stays & mine)
     tell = F.col("others") & (~F.col("run_many") & ~first_stays | mine & (F.col("lone") | first_stays))
-    hits = _same(each, shared, ["hash", "run"]).select("digest", F.struct("words", "hash", "place", "lo", "hi", gone.alias("gone"), tell.alias("tell"), "hot").alias("m"))
+    hits = _same(each, shared.hint("shuffle_hash"), ["hash", "run"]).select("digest", F.struct("words", "hash", "place", "lo", "hi", gone.alias("gone"), tell.alias("tell"), "hot").alias("m"))
     # A set, since copies bring equal marks: it is no larger than one text's.
     hits = hits.filter("m.gone or m.tell").groupBy(F.col("digest").alias("_digest")).agg(F.collect_set("m").alias("marks"))
     hits = hits.join(copies, F.col("_digest") == F.col("digest")).drop("digest")
@@ -381,7 +382,7 @@ def repeated_spans(slim: DataFrame, copies: DataFrame, units: list[Unit], keep_f
     at_hits = mark() - 1
     discard(at_lists)
     discard(at_shared)
-    found = slim.join(hits, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    found = slim.join(hits.hint("shuffle_hash"), (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     found = found.select("digest", F.xxhash64("digest").alias("owner"), rep.alias("rep"), "text", "marks", F.monotonically_increasing_id().alias("id"))
     found = materialize(found, "marked-texts")
     discard(at_hits)
