@@ -15,8 +15,8 @@ from granary.functions import text as T
 from granary.functions.random import bucket
 from granary.functions.shape import us_street_parts
 
-#: A piece of a template: a tag and its value, or text between.
-Piece = tuple[str, Column] | str
+#: A piece of a template: a tag and its value (a column, or the name of a part), or text between.
+Piece = tuple[str, Column | str] | str
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ def written(forms: list[Form], choice: Column) -> Column:
                 glue += p
             else:
                 tag, value = p
+                value = F.trim(F.col(value)) if isinstance(value, str) else value
                 parts.append(F.struct(F.lit(glue).alias("before"), F.lit(tag).alias("tag"), F.coalesce(value.cast("string"), F.lit("")).alias("value")))
                 glue = ""
         kept = F.filter(F.array(*parts), lambda x: x["value"] != "")
@@ -122,7 +123,7 @@ def run(name: str, parts: DataFrame, seed: str = "0") -> DataFrame:
 
 
 def _c(tag: str, name: str | None = None) -> Piece:
-    return tag, F.trim(F.col(name or tag))
+    return tag, name or tag
 
 
 def by_number(n: int) -> Callable[[str], Column]:

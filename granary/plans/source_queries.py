@@ -24,7 +24,10 @@ def _rows(spark, d, name: str, columns: dict):
     return out.select("raw", "country", "license", F.element_at("components", F.lit("street")).alias("street"), F.element_at("components", F.lit("venue")).alias("venue"))
 
 
-_LINE = F.concat_ws(" ", "house_number", F.trim("street"))
+def _line():
+    return F.concat_ws(" ", "house_number", F.trim("street"))
+
+
 _PUBLIC = "'US' AS country, 'Public Domain' AS license, trim(street) AS street"
 
 
@@ -33,36 +36,36 @@ def src_nppes(spark, d):
     a = "Provider Business Practice Location Address "
     return _rows(spark, d, "usgov_nppes", {
         "NPI": F.col("id"), "Provider Organization Name (Legal Business Name)": F.concat(F.lit("Clinic "), (F.col("id") % 9).cast("string")), "Provider Last Name (Legal Name)": F.lit(""), "Provider First Name": F.lit(""),
-        "Provider First Line Business Practice Location Address": _LINE, "Provider Second Line Business Practice Location Address": F.lit(""), a + "City Name": F.col("locality"), a + "State Name": F.col("region"), a + "Postcode": F.col("postcode"),
+        "Provider First Line Business Practice Location Address": _line(), "Provider Second Line Business Practice Location Address": F.lit(""), a + "City Name": F.col("locality"), a + "State Name": F.col("region"), a + "Postcode": F.col("postcode"),
     })
 
 
 @query("src_hrsa", f"SELECT DISTINCT 'Site, \"A\"' || ', ' || {_RAW} AS raw, {_PUBLIC}, 'Site, \"A\"' AS venue FROM {ADDRESSES}")
 def src_hrsa(spark, d):
-    return _rows(spark, d, "usgov_hrsa_fqhc", {"Site ID": F.col("id"), "Site Name": F.lit('Site, "A"'), "Site Address": _LINE, "Site City": F.col("locality"), "Site State Abbreviation": F.col("region"), "Site Postal Code": F.col("postcode")})
+    return _rows(spark, d, "usgov_hrsa_fqhc", {"Site ID": F.col("id"), "Site Name": F.lit('Site, "A"'), "Site Address": _line(), "Site City": F.col("locality"), "Site State Abbreviation": F.col("region"), "Site Postal Code": F.col("postcode")})
 
 
 @query("src_imls", f"SELECT DISTINCT 'Library, ' || {_RAW} AS raw, {_PUBLIC}, 'Library' AS venue FROM {ADDRESSES}")
 def src_imls(spark, d):
-    return _rows(spark, d, "usgov_imls_pls", {"FSCSKEY": F.col("id"), "LIBNAME": F.lit("Library"), "ADDRESS": _LINE, "CITY": F.col("locality"), "STABR": F.col("region"), "ZIP": F.col("postcode"), "CNTY": F.lit("Lane")})
+    return _rows(spark, d, "usgov_imls_pls", {"FSCSKEY": F.col("id"), "LIBNAME": F.lit("Library"), "ADDRESS": _line(), "CITY": F.col("locality"), "STABR": F.col("region"), "ZIP": F.col("postcode"), "CNTY": F.lit("Lane")})
 
 
 @query("src_irs", f"SELECT DISTINCT CASE WHEN id % 3 = 0 THEN 'Fund, PO Box ' || house_number || ', ' || locality || ', ' || region || ' ' || postcode ELSE 'Fund, ' || {_RAW} END AS raw, 'US' AS country, 'Public Domain' AS license, CASE WHEN id % 3 <> 0 THEN trim(street) END AS street, 'Fund' AS venue FROM {ADDRESSES}")
 def src_irs(spark, d):
-    line = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", F.lit("PO Box"), "house_number")).otherwise(_LINE)
+    line = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", F.lit("PO Box"), "house_number")).otherwise(_line())
     return _rows(spark, d, "usgov_irs_bmf", {"EIN": F.col("id"), "NAME": F.lit("Fund"), "STREET": line, "CITY": F.col("locality"), "STATE": F.col("region"), "ZIP": F.concat_ws("-", "postcode", F.lit("0001"))})
 
 
 @query("src_samhsa", f"SELECT DISTINCT 'Hope House West, ' || house_number || ' ' || trim(street) || ' Floor 2, ' || locality || ', ' || region || ' ' || postcode AS raw, 'US' AS country, 'Public Domain' AS license, trim(street) || ' Floor 2' AS street, 'Hope House West' AS venue FROM {ADDRESSES}")
 def src_samhsa(spark, d):
-    return _rows(spark, d, "usgov_samhsa", {"frid": F.col("id"), "name1": F.lit("Hope House"), "name2": F.lit(" West"), "street1": _LINE, "street2": F.lit("Floor 2"), "city": F.col("locality"), "state": F.col("region"), "zip": F.col("postcode")})
+    return _rows(spark, d, "usgov_samhsa", {"frid": F.col("id"), "name1": F.lit("Hope House"), "name2": F.lit(" West"), "street1": _line(), "street2": F.lit("Floor 2"), "city": F.col("locality"), "state": F.col("region"), "zip": F.col("postcode")})
 
 
 @query("src_state_lists", f"SELECT DISTINCT 'Builder, ' || {_RAW} AS raw, {_PUBLIC}, 'Builder' AS venue FROM {ADDRESSES} WHERE id % 4 <> 0")
 def src_state_lists(spark, d):
     """Rows without a town name no place and are left out."""
     town = F.when(F.col("id") % 4 != 0, F.col("locality"))
-    return _rows(spark, d, "state_ia_contractors", {"Registration #": F.col("id"), "Business Name": F.lit("Builder"), "Address 1": _LINE, "Address 2": F.lit(" "), "City": town, "State": F.col("region"), "Zip Code": F.col("postcode")})
+    return _rows(spark, d, "state_ia_contractors", {"Registration #": F.col("id"), "Business Name": F.lit("Builder"), "Address 1": _line(), "Address 2": F.lit(" "), "City": town, "State": F.col("region"), "Zip Code": F.col("postcode")})
 
 
 @query("src_nad", f"SELECT DISTINCT house_number || ' N Oak St, ' || locality || ', ' || region || ' ' || postcode || '-1234' AS raw, 'US' AS country, 'Public Domain' AS license, 'Oak' AS street, CAST(NULL AS VARCHAR) AS venue FROM {ADDRESSES}")

