@@ -12,15 +12,38 @@ MOST_BEYOND = 2.0
 PROMINENCE, PROMINENT_LOG10, NEARNESS, NEAR_KM = 4.0, 6.0, 4.0, 30.0
 
 
+def _blocks(low: Column, high: Column) -> Column:
+    """Blocks (level, at) that make up the whole numbers from low to high: block `at` of a level holds at * 2 ** level and
+    the 2 ** level - 1 numbers after it. At most two of a level."""
+    low, end = F.ceil(low), F.floor(high) + 1
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(end - low, F.lit(1)))).cast("int"))
+
+    def of(level: Column) -> Column:
+        a, z = -F.call_function("shiftright", -low, level), F.call_function("shiftright", end, level)
+        block = lambda on, at: F.when(on & (a < z), F.struct(level.alias("level"), at.alias("at")))
+        return F.array(block(a.bitwiseAND(F.lit(1)) == 1, a), block(z.bitwiseAND(F.lit(1)) == 1, z - 1))
+
+    return F.filter(F.flatten(F.transform(levels, of)), lambda x: x.isNotNull())
+
+
 def tightest_range(queries: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """queries (id, key, n) with the range (rid, key, low, high, parity) that holds n: of n's own parity first, then
-    mixed, then any; of those the narrowest, then the least rid. An equi join on the key, and one map-side minimum."""
-    r = ranges.select(F.col(key).alias("_key"), "rid", "low", "high", "parity")
-    hit = queries.join(r, F.col(key) == F.col("_key")).filter(F.col("n").between(F.col("low"), F.col("high")))
-    own = F.when(F.col("n") % 2 == 1, "odd").otherwise("even")
+    mixed, then any; of those the narrowest, then the least rid. n is a whole number.
+
+    Ranges are cut into blocks of powers of two; a block keeps its best range of each parity, and a number looks at the one
+    block of each level that holds it. No number meets each range of its key.
+    """
+    r = ranges.filter(F.col("low") <= F.col("high")).select(F.col(key).alias("_key"), "rid", "low", "high", "parity", F.explode(_blocks(F.col("low"), F.col("high"))).alias("_b"))
+    narrow = F.min(F.struct((F.col("high") - F.col("low")).alias("width"), "rid", "low", "high")).alias("_r")
+    r = r.groupBy("_key", F.col("_b.level").alias("_level"), F.col("_b.at").alias("_at"), "parity").agg(narrow)
+    levels = F.broadcast(r.select(F.col("_level").alias("_of")).distinct())  # 63 at most
+    asked = queries.select(F.col(key).alias("_k"), F.col("n").alias("_n")).distinct().join(levels)
+    hit = asked.join(r, (F.col("_k") == F.col("_key")) & (F.col("_of") == F.col("_level")) & (F.call_function("shiftright", F.col("_n").cast("long"), F.col("_of")) == F.col("_at")))
+    own = F.when(F.col("_n") % 2 == 1, "odd").otherwise("even")
     tier = F.when(F.col("parity") == own, 0).when(F.col("parity") == "mixed", 1).otherwise(2)
-    best = F.min(F.struct(tier.alias("tier"), (F.col("high") - F.col("low")).alias("width"), "rid", "low", "high")).alias("best")
-    return hit.groupBy("id", "n").agg(best).select("id", "n", "best.*")
+    found = hit.groupBy("_k", "_n").agg(F.min(F.struct(tier.alias("tier"), "_r.width", "_r.rid", "_r.low", "_r.high")).alias("_best"))
+    hit = queries.join(found, (F.col(key) == F.col("_k")) & (F.col("n") == F.col("_n")))
+    return hit.groupBy("id", "n").agg(F.min("_best").alias("best")).select("id", "n", "best.*")
 
 
 def between_neighbours(queries: DataFrame, points: DataFrame, street: str) -> DataFrame:
