@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -103,13 +104,19 @@ def characters(c: Column) -> Column:
     return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x, i: F.struct(x.alias("c"), i.alias("i")))
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once, however often it is used, and not anew for each element of an array."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def punctuation_with_offsets(chars: Column) -> Column:
     """Each character that stands for a sign points to it."""
     known = F.create_map(*[F.lit(x) for kv in PUNCTUATION.items() for x in kv])
 
     def plain(x: Column) -> Column:
-        out = F.coalesce(F.element_at(known, x["c"]), x["c"])
-        return F.transform(F.filter(F.split(out, ""), lambda y: y != ""), lambda y: F.struct(y.alias("c"), x["i"].alias("i")))
+        each = lambda s: F.transform(F.filter(F.split(s, ""), lambda y: y != ""), lambda y: F.struct(y.alias("c"), x["i"].alias("i")))
+        out = lambda s: F.when(F.length(s) == 1, F.array(F.struct(s.alias("c"), x["i"].alias("i")))).otherwise(each(s))
+        return F.when(x["c"].isin(*PUNCTUATION), bound(F.element_at(known, x["c"]), out)).otherwise(F.array(F.struct(x["c"].alias("c"), x["i"].alias("i"))))
 
     return F.flatten(F.transform(chars, plain))
 
@@ -117,14 +124,21 @@ def punctuation_with_offsets(chars: Column) -> Column:
 def whitespace_with_offsets(chars: Column) -> Column:
     """A run of blanks is the blank that it begins with; what whitespace() cuts off is left out."""
     inline = lambda x: x["c"].isin(" ", "\t")
-    kept = F.filter(chars, lambda x, i: ~(inline(x) & (i > 0) & inline(F.coalesce(F.get(chars, i - 1), F.struct(F.lit("x").alias("c"), F.lit(0).alias("i"))))))
-    kept = F.transform(kept, lambda x: F.struct(F.when(x["c"] == "\t", " ").otherwise(x["c"]).alias("c"), x["i"].alias("i")))
-    text = F.array_join(F.transform(kept, lambda x: x["c"]), "")
-    lead = F.length(text) - F.length(F.regexp_replace(text, "^[ \\t\\n\\r]+", ""))
-    rest = F.length(F.regexp_replace(F.regexp_replace(text, "^[ \\t\\n\\r]+", ""), "[ \\t\\n\\r.,;:]+$", ""))
-    return F.slice(kept, lead + 1, rest)
+
+    def runs(chars: Column) -> Column:
+        kept = F.filter(chars, lambda x, i: ~(inline(x) & (i > 0) & inline(F.coalesce(F.get(chars, i - 1), F.struct(F.lit("x").alias("c"), F.lit(0).alias("i"))))))
+        return F.transform(kept, lambda x: F.struct(F.when(x["c"] == "\t", " ").otherwise(x["c"]).alias("c"), x["i"].alias("i")))
+
+    def trimmed(kept: Column) -> Column:
+        def within(text: Column) -> Column:
+            behind = F.regexp_replace(text, "^[ \\t\\n\\r]+", "")
+            return F.slice(kept, F.length(text) - F.length(behind) + 1, F.length(F.regexp_replace(behind, "[ \\t\\n\\r.,;:]+$", "")))
+
+        return bound(F.array_join(F.transform(kept, lambda x: x["c"]), ""), within)
+
+    return bound(bound(chars, runs), trimmed)
 
 
 def text_and_map(chars: Column) -> Column:
     """struct(text, map): map[k] is the place in the raw text of the text's character k."""
-    return F.struct(F.array_join(F.transform(chars, lambda x: x["c"]), "").alias("text"), F.transform(chars, lambda x: x["i"]).alias("map"))
+    return bound(chars, lambda x: F.struct(F.array_join(x["c"], "").alias("text"), x["i"].alias("map")))

@@ -37,11 +37,15 @@ def txt_abbreviations(spark, d):
 def txt_offsets(spark, d):
     """The normalized text with the place of each character in the raw one; unchanged characters stand there."""
     raw = F.concat(F.lit("  "), F.replace(F.col("raw"), F.lit(", "), F.lit(",  ")), F.lit(" ;"))
-    a = addresses(spark, d).select("id", "raw", raw.alias("odd"))
+    a = addresses(spark, d).select("id", raw.alias("odd")).repartition("id")  # few bytes, much work: on all cores
     m = N.text_and_map(N.whitespace_with_offsets(N.punctuation_with_offsets(N.characters(F.col("odd")))))
-    a = a.withColumn("m", m)
-    same = F.forall(F.sequence(F.lit(1), F.length("m.text")), lambda k: (F.substring(F.col("m.text"), k, F.lit(1)) == F.substring(F.col("odd"), F.element_at(F.col("m.map"), k) + 1, F.lit(1))) | F.substring(F.col("odd"), F.element_at(F.col("m.map"), k) + 1, F.lit(1)).isin(*N.PUNCTUATION))
-    return a.select("id", F.col("m.text").alias("text"), F.size("m.map").cast("long").alias("n"), same.alias("faithful"))
+
+    def checked(m):
+        there = lambda k: F.substring(F.col("odd"), F.element_at(m["map"], k) + 1, F.lit(1))
+        same = F.forall(F.sequence(F.lit(1), F.length(m["text"])), lambda k: N.bound(there(k), lambda c: (F.substring(m["text"], k, F.lit(1)) == c) | c.isin(*N.PUNCTUATION)))
+        return F.struct(m["text"].alias("text"), F.size(m["map"]).cast("long").alias("n"), same.alias("faithful"))
+
+    return a.select("id", N.bound(m, checked).alias("m")).select("id", "m.*")
 
 
 @query("txt_fold_key", f"SELECT id, trim(regexp_replace(regexp_replace(lower(strip_accents(raw)), '[''’`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM {ADDRESSES}")
