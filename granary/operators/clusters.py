@@ -57,6 +57,25 @@ def refine(labels: DataFrame, links: DataFrame, threshold: float, largest: int =
     return labels.join(small, "label", "left_anti").select("node", "label").unionByName(refined)
 
 
+def refine_classes(members: DataFrame, links: DataFrame, labels: DataFrame, threshold: float, largest: int = LARGEST) -> DataFrame:
+    """refine() of the components that connected_classes() gives at the threshold, by links (a, b, weight) between classes
+    (members: node, _class).
+
+    A component whose links all reach the threshold hangs together on any average, so it stays. Of the others, those that
+    refine() takes apart have their links between rows made, largest squared at most.
+    """
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"_l{x}")) for x in "ab")
+    below = links.filter(F.col("weight") < threshold + 1e-9 * max(1.0, abs(threshold))).join(a, "a").join(b, "b").filter("_la = _lb")
+    few = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n").between(3, largest)).select("label")
+    few = few.join(below.select(F.col("_la").alias("label")), "label", "left_semi")
+    weak = labels.join(few, "label").select("node", "label")
+    rows = members.join(weak, "node")
+    a, b = (rows.select(F.col("node").alias(f"_{x}"), F.col("_class").alias(f"_c{x}"), F.col("label").alias(f"_l{x}")) for x in "ab")
+    at = links.join(a, F.col("a") == F.col("_ca")).join(b, (F.col("b") == F.col("_cb")) & (F.col("_la") == F.col("_lb")))
+    inside = at.filter("a <> b OR _a < _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "weight")
+    return labels.join(few, "label", "left_anti").select("node", "label").unionByName(refine(weak, inside, threshold, largest))
+
+
 def cohesion(labels: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """(label, size, cohesion): the least weight of the links from the threshold on inside a cluster; null without any."""
     a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"_l{x}")) for x in "ab")

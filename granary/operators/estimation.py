@@ -22,9 +22,9 @@ class Estimate:
     converged: bool
 
 
-def pattern_counts(pairs: DataFrame, levels: list[str]) -> DataFrame:
-    """Pairs by agreement pattern: one partial aggregation, whatever the number of pairs."""
-    return pairs.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"))
+def pattern_counts(pairs: DataFrame, levels: list[str], times: str | None = None) -> DataFrame:
+    """Pairs by agreement pattern: one partial aggregation, whatever the number of pairs. times: how many a row stands for."""
+    return pairs.groupBy(*levels).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, m: list[np.ndarray], u: list[np.ndarray], prior: float, rounds: int = 100, tolerance: float = 1e-6) -> Estimate:
@@ -56,9 +56,9 @@ def fit(patterns: np.ndarray, counts: np.ndarray, m: list[np.ndarray], u: list[n
     return Estimate(prior, m, u, done, converged)
 
 
-def estimate(pairs: DataFrame, levels: list[str], m: list[list[float]], u: list[list[float]], prior: float, **limits) -> Estimate:
-    """Fits the model to candidate pairs with an integer level a comparison."""
-    found = pattern_counts(pairs, levels).limit(MOST_PATTERNS + 1).collect()
+def estimate(pairs: DataFrame, levels: list[str], m: list[list[float]], u: list[list[float]], prior: float, times: str | None = None, **limits) -> Estimate:
+    """Fits the model to candidate pairs with an integer level a comparison. times: how many pairs a row stands for."""
+    found = pattern_counts(pairs, levels, times).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} agreement patterns")
     found.sort(key=lambda r: tuple(r[c] for c in levels))

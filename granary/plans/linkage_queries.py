@@ -25,16 +25,30 @@ def _pairs(spark, d):
     return L.blocking_pairs(table(spark, d, "part"), _keys(), "p_partkey")
 
 
+#: What the scores of a pair are read from: parts that agree in these and in their keys are one class.
+FIELDS = ("w", "p_brand")
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").withColumn("w", F.split(F.lower("p_name"), " "))
+
+
+def _said():
+    """Levels and weight of a pair of classes or slices."""
+    name = L.level(T.jaccard(F.col("aw"), F.col("bw")), [0.99, 0.4])
+    brand = F.when(F.col("ap_brand") == F.col("bp_brand"), 0).otherwise(1)
+    total = L.weight(F.col("name_level"), [0.6, 0.3, 0.1], [0.01, 0.09, 0.9]) + L.weight(F.col("brand_level"), [0.9, 0.1], [0.04, 0.96])
+    return {"name_level": name, "brand_level": brand}, {"weight": total}
+
+
 def _scored(spark, d):
-    """Every candidate pair with its fields, once from each side: two equi joins on the key."""
-    p = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("w"), "p_brand", "p_retailprice")
-    a = p.select(F.col("p_partkey").alias("lo"), *[F.col(c).alias(f"a_{c}") for c in ("w", "p_brand", "p_retailprice")])
-    b = p.select(F.col("p_partkey").alias("hi"), *[F.col(c).alias(f"b_{c}") for c in ("w", "p_brand", "p_retailprice")])
-    j = _pairs(spark, d).join(a, "lo").join(b, "hi")
-    name = L.level(T.jaccard(F.col("a_w"), F.col("b_w")), [0.99, 0.4])
-    brand = F.when(F.col("a_p_brand") == F.col("b_p_brand"), 0).otherwise(1)
-    total = L.weight(name, [0.6, 0.3, 0.1], [0.01, 0.09, 0.9]) + L.weight(brand, [0.9, 0.1], [0.04, 0.96])
-    return j.select("lo", "hi", name.alias("name_level"), brand.alias("brand_level"), total.alias("weight"))
+    """a, b, levels, weight and n of every pair of classes: n pairs of parts have them."""
+    levels, total = _said()
+    return L.class_pairs(L.classes(_parts(spark, d), _keys(), "p_partkey", FIELDS)).withColumns(levels).withColumns(total).select(F.col("a_at").alias("a"), F.col("b_at").alias("b"), *levels, *total, "n")
+
+
+def _members(spark, d):
+    return L.class_of(_parts(spark, d), _keys(), "p_partkey", FIELDS)
 
 
 LEVELS = f"""x AS (SELECT lo, hi, CASE WHEN j >= 0.99 THEN 0 WHEN j >= 0.4 THEN 1 ELSE 2 END AS name_level, brand_level FROM (SELECT lo, hi, {JACCARD.format('wa', 'wb')} AS j, CASE WHEN ba = bb THEN 0 ELSE 1 END AS brand_level
@@ -56,21 +70,22 @@ def lnk_dropped_keys(spark, d):
 
 @query("lnk_score_pairs", PAIRS + ", " + LEVELS + f" SELECT lo, hi, name_level, brand_level, round(weight, 9) AS weight, CASE WHEN {PROBABILITY} >= 0.5 THEN 'match' WHEN {PROBABILITY} <= 0.001 THEN 'non-match' ELSE 'review' END AS decision FROM w")
 def lnk_score_pairs(spark, d):
-    s = _scored(spark, d)
-    return s.withColumn("decision", L.decide(L.probability(F.col("weight"), 0.001), 0.001, 0.5)).withColumn("weight", F.round("weight", 9))
+    levels, total = _said()
+    met = L.meetings(L.slices(_parts(spark, d), _keys(), "p_partkey", FIELDS)).withColumns(levels).withColumns(total)
+    decision = L.decide(L.probability(F.col("weight"), 0.001), 0.001, 0.5)
+    return L.each_pair(met, {"name_level": F.col("name_level"), "brand_level": F.col("brand_level"), "weight": F.round("weight", 9), "decision": decision})
 
 
 @query("lnk_patterns", PAIRS + ", " + LEVELS + " SELECT name_level, brand_level, count(*) AS n FROM w GROUP BY 1, 2")
 def lnk_patterns(spark, d):
-    return _scored(spark, d).groupBy("name_level", "brand_level").agg(F.count(F.lit(1)).alias("n"))
+    return _scored(spark, d).groupBy("name_level", "brand_level").agg(F.sum("n").alias("n"))
 
 
 @query("lnk_resolve", PAIRS + ", " + LEVELS + """, m AS MATERIALIZED (SELECT lo AS a, hi AS b FROM w WHERE weight >= 5 UNION SELECT hi, lo FROM w WHERE weight >= 5),
  r AS (WITH RECURSIVE r AS (SELECT p_partkey AS id, p_partkey AS n FROM part UNION SELECT r.id, m.b FROM r JOIN m ON r.n = m.a) SELECT id, min(n) AS entity FROM r GROUP BY 1) SELECT id, entity, count(*) OVER (PARTITION BY entity) AS members FROM r""")
 def lnk_resolve(spark, d):
-    edges = _scored(spark, d).filter("weight >= 5").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    out = L.connected(edges, nodes, cut)
+    edges = cut(_scored(spark, d).filter("weight >= 5").select("a", "b"))
+    out = L.connected_classes(_members(spark, d), edges, cut)
     size = out.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("members"))
     return out.join(size, F.col("label") == F.col("_l")).select(F.col("node").alias("id"), F.col("label").alias("entity"), "members")
 

@@ -8,7 +8,7 @@ from granary.functions import text as T
 from granary.operators import clusters, decode, places
 from granary.operators import linkage as L
 from granary.operators.lineage import cut
-from granary.plans.linkage_queries import _scored
+from granary.plans.linkage_queries import _members, _scored
 from granary.plans.registry import query
 from granary.plans.tables import points, sql_km, sql_points, table
 
@@ -16,21 +16,20 @@ C, S = sql_points("customer", "c_custkey"), sql_points("supplier", "s_suppkey")
 
 
 def _clusters(spark, d):
-    """Links of the scored pairs, written once, and the components of those from 5 bits on."""
-    links = cut(_scored(spark, d).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "weight"))
-    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    return links, L.connected(links.filter("weight >= 5"), nodes, cut)
+    """Parts with their classes, the links of classes, written once, and the components of those from 5 bits on."""
+    members, links = cut(_members(spark, d)), cut(_scored(spark, d).select("a", "b", "weight"))
+    return members, links, cut(L.connected_classes(members, links.filter("weight >= 5"), cut))
 
 
 @query("lnk_average_linkage")
 def lnk_average_linkage(spark, d):
-    links, labels = _clusters(spark, d)
-    return clusters.refine(labels, links, 5.0)
+    members, links, labels = _clusters(spark, d)
+    return clusters.refine_classes(members, links, labels, 5.0)
 
 
 @query("lnk_cohesion")
 def lnk_cohesion(spark, d):
-    links, labels = _clusters(spark, d)
+    _, links, labels = _clusters(spark, d)  # a class is known by one of its parts, which stands for all of them
     return clusters.cohesion(labels, links, 5.0).withColumn("cohesion", F.round("cohesion", 9))
 
 
