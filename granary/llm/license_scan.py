@@ -141,18 +141,28 @@ def places(notice: list[str], block: list[str]) -> Iterator[tuple[list[str], lis
             yield got[0], got[1], got[2] + low, got[3] + low
 
 
+def savings(block: str) -> list[int]:
+    """Conditional compression: the bytes that each notice of compressors() saves as the block's dictionary."""
+    plain, each = compressors()
+    data = block.encode("utf-8", "replace")
+    alone = len(plain.compress(data))
+    return [alone - len(with_notice.compress(data)) for _, _, _, with_notice in each]
+
+
 @lru_cache(maxsize=REMEMBERED)
 def held(block: str) -> tuple:
-    """(license, notice, saved bytes, compressed size, missing, added, start, end) wherever the block holds a notice."""
+    """(license, notice, saved bytes, compressed size, missing, added, start, end) wherever the block holds a notice.
+
+    Every block is compressed with every notice; notices are confirmed in the order of what they save, none left out, since
+    no least saving is sure for a short notice in a long block.
+    """
     plain, each = compressors()
-    data = block.encode("utf-8", "replace")
+    saved = savings(block)
+    alone = len(plain.compress(block.encode("utf-8", "replace")))
     spans = [m.span() for m in WORD.finditer(block)]
     own = [block[a:b].lower() for a, b in spans]
-    found = [(i, x) for i, (_, _, words, _) in enumerate(each) for x in places(words, own)]
-    if not found:
-        return ()
-    alone = len(plain.compress(data))
-    saved = {i: alone - len(each[i][3].compress(data)) for i, _ in found}
+    ranked = sorted(range(len(each)), key=lambda i: -saved[i])
+    found = [(i, x) for i in ranked for x in places(each[i][2], own)]
     return tuple((each[i][0], each[i][1], saved[i], alone, " ".join(x), " ".join(y), spans[a][0], spans[b - 1][1]) for i, (x, y, a, b) in found)
 
 
