@@ -44,7 +44,7 @@ _LEVELS = f"""r AS {RECORDS}, f AS (SELECT trim(regexp_replace(upper(address_raw
 def lnk_contributions(spark, d):
     """Every candidate pair with its levels and the sum of what they say."""
     records = _records(spark, d)
-    s = R.scored(R.sided(records, R.blocking(records)), R.Model(), R.address_frequency(records))
+    s = R.scored(records, R.Model(), R.address_frequency(records))
     return s.select("lo", "hi", *[F.col(f"l_{c}").alias(c) for c in ("given", "family", "organization", "spatial")], F.round("weight", 6).alias("weight"))
 
 
@@ -69,7 +69,7 @@ def lnk_learned_resolve(spark, d):
 def lnk_pair_features(spark, d):
     records = _records(spark, d)
     model = R.Model()
-    f = R.features(R.scored(R.sided(records, R.blocking(records)), model, None), model)
+    f = R.features(R.scored(records, model, None), model)
     return f.select("lo", "hi", F.array_join(F.col("features").cast("array<string>"), ",").alias("features"))
 
 

@@ -1,4 +1,5 @@
 """Queries whose work must not grow with copies, wide ranges or long texts, against SQL and plain versions."""
+import math
 import random
 
 import duckdb
@@ -83,3 +84,20 @@ def test_offsets_of_a_long_text(spark):
     text, places_ = spark.createDataFrame([(raw,)], "raw string").select(m.alias("m")).first()[0]
     assert text == ('"ab" c... ' * 2000).rstrip(" .") and len(text) == len(places_)
     assert all(raw[i] == c or raw[i] in N.PUNCTUATION or (raw[i], c) == ("\t", " ") for c, i in zip(text, places_))
+
+
+def test_candidates_of_records_equal_brute_force(spark, monkeypatch):
+    """Lists of records that agree are compared once; each pair comes once, by keys or by cells, whatever it shares."""
+    from granary.operators import resolution as R
+
+    monkeypatch.setattr(L, "SLICE", 2)
+    rng = random.Random(7)
+    pick = lambda *v: rng.choice(v)
+    rows = [(i, pick("Ann", None), "Lee", None, pick("1 2", "1  2", " ", None), pick("A@x", "a@X", None), pick("k", "", None), "Oak 1", pick(None, 1.01, 1.09, 1.3, -0.01), pick(2.0, 2.16, None)) for i in range(40)]
+    records = spark.createDataFrame(rows, "id long, given string, family string, organization string, phone string, email string, address_key string, address_raw string, lat double, lon double")
+    got = [(r["lo"], r["hi"]) for r in R.leveled(records, R.Model(), R.address_frequency(records)).collect()]
+    key = lambda v: " ".join((v or "").split()).lower() or None
+    cell = lambda v: math.floor(v / 0.05)
+    near = lambda a, b: None not in (a[8], a[9], b[8], b[9]) and all(abs(cell(a[k]) - cell(b[k])) <= 2 for k in (8, 9))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (near(a, b) or any(key(a[k]) and key(a[k]) == key(b[k]) for k in (4, 5, 6)))}
+    assert len(got) == len(set(got)) and set(got) == want and want
