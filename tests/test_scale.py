@@ -3,6 +3,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,54 @@ def test_candidates_of_records_equal_brute_force(spark, monkeypatch):
     near = lambda a, b: None not in (a[8], a[9], b[8], b[9]) and all(abs(cell(a[k]) - cell(b[k])) <= 2 for k in (8, 9))
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (near(a, b) or any(key(a[k]) and key(a[k]) == key(b[k]) for k in (4, 5, 6)))}
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def plain_average(n, edges, threshold):
+    """Average linkage as its definition has it: exact fractions, all pairs of clusters looked at before each merger."""
+    from fractions import Fraction
+
+    w = {frozenset(e[:2]): Fraction(e[2]) for e in edges}
+    groups = [[i] for i in range(n)]
+    while True:
+        best = None
+        for p in range(len(groups)):
+            for q in range(p + 1, len(groups)):
+                found = [w[frozenset((i, j))] for i in groups[p] for j in groups[q] if frozenset((i, j)) in w]
+                if found and (best is None or sum(found) / len(found) > best[0]):
+                    best = (sum(found) / len(found), p, q)
+        if best is None or best[0] < Fraction(threshold):
+            return [min(g) for i in range(n) for g in groups if i in g]
+        groups[best[1]] += groups.pop(best[2])
+
+
+def test_average_linkage_of_classes_equals_plain():
+    """Ties, classes weaker within than without, and missing links: by rows and by classes as the plain way."""
+    from granary.operators import clusters
+
+    rng = random.Random(11)
+    for _ in range(150):
+        n, k = rng.randint(1, 11), rng.randint(1, 4)
+        of = [rng.randrange(k) for _ in range(n)]
+        values = rng.choice([(9.5, 6.25, 1.3, -1.5), (6.0, 4.0), (10.4, 6.23, 1.32)])
+        links = {(i, j): rng.choice(values) for i in range(k) for j in range(i, k) if i == j or rng.random() < 0.8}
+        edges = [(a, b, links[tuple(sorted((of[a], of[b])))]) for a in range(n) for b in range(a + 1, n) if tuple(sorted((of[a], of[b]))) in links]
+        want = plain_average(n, edges, 5.0)
+        assert clusters.merge_average(n, edges, 5.0).tolist() == want
+        nodes, labels = clusters.merge_classes([np.array([i for i in range(n) if of[i] == c], dtype=int) for c in range(k)], links, 5.0)
+        assert dict(zip(nodes.tolist(), labels.tolist())) == dict(enumerate(want))
+
+
+def test_large_components_are_refined(spark):
+    """100 rows that a weak bridge holds together come apart, by rows and by classes."""
+    from granary.operators import clusters
+
+    side = lambda i: i >= 50
+    labels = spark.createDataFrame([(i, 0) for i in range(100)], "node long, label long")
+    rows = [(a, b, 9.0 if side(a) == side(b) else 6.0 if (a, b) == (49, 50) else 1.0) for a in range(100) for b in range(a + 1, 100)]
+    want = {i: 50 * side(i) for i in range(100)}
+    found = lambda df: {r["node"]: r["label"] for r in df.collect()}
+    assert found(clusters.refine(labels, spark.createDataFrame(rows, "a long, b long, weight double"), 5.0)) == want
+    of = {i: 49 if i == 49 else 50 if i == 50 else 0 if i < 49 else 51 for i in range(100)}
+    members = spark.createDataFrame([(i, c) for i, c in of.items()], "node long, _class long")
+    links = [(0, 0, 9.0), (0, 49, 9.0), (50, 51, 9.0), (51, 51, 9.0), (49, 50, 6.0), (0, 50, 1.0), (0, 51, 1.0), (49, 51, 1.0)]
+    assert found(clusters.refine_classes(members, spark.createDataFrame(links, "a long, b long, weight double"), labels, 5.0)) == want
