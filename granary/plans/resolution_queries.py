@@ -44,8 +44,9 @@ _LEVELS = f"""r AS {RECORDS}, f AS (SELECT trim(regexp_replace(upper(address_raw
 def lnk_contributions(spark, d):
     """Every candidate pair with its levels and the sum of what they say."""
     records = _records(spark, d)
-    s = R.scored(records, R.Model(), R.address_frequency(records))
-    return s.select("lo", "hi", *[F.col(f"l_{c}").alias(c) for c in ("given", "family", "organization", "spatial")], F.round("weight", 6).alias("weight"))
+    model = R.Model()
+    weight = lambda levels, share: F.round(sum(R.weights(levels, share, model).values(), F.lit(0.0)), 6)
+    return R.told(records, model, R.address_frequency(records), lambda levels, share: {**levels, "weight": weight(levels, share)})
 
 
 @query("lnk_full_resolve", f"""WITH {_LEVELS}, m AS MATERIALIZED (SELECT lo AS a, hi AS b FROM w WHERE weight >= 0 AND backed UNION SELECT hi, lo FROM w WHERE weight >= 0 AND backed),
@@ -69,8 +70,7 @@ def lnk_learned_resolve(spark, d):
 def lnk_pair_features(spark, d):
     records = _records(spark, d)
     model = R.Model()
-    f = R.features(R.scored(records, model, None), model)
-    return f.select("lo", "hi", F.array_join(F.col("features").cast("array<string>"), ",").alias("features"))
+    return R.told(records, model, None, lambda levels, _: {"features": F.array_join(R.feature(levels, model).cast("array<string>"), ",")})
 
 
 _TREES = B.Boosted(-1.0, 0.5, [B.Tree(0, 0, 25.0, B.Tree(-1.0), B.Tree(0, 1, 0.05, B.Tree(0.5), B.Tree(2.0))), B.Tree(0, 1, 0.02, B.Tree(-0.25), B.Tree(0.75))])

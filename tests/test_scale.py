@@ -153,3 +153,27 @@ def test_large_components_are_refined(spark):
     members = spark.createDataFrame([(i, c) for i, c in of.items()], "node long, _class long")
     links = [(0, 0, 9.0), (0, 49, 9.0), (50, 51, 9.0), (51, 51, 9.0), (49, 50, 6.0), (0, 50, 1.0), (0, 51, 1.0), (49, 51, 1.0)]
     assert found(clusters.refine_classes(members, spark.createDataFrame(links, "a long, b long, weight double"), labels, 5.0)) == want
+
+
+def test_profiles_are_compared_once(spark):
+    """Lists of records that agree in all but coordinates meet in many cells; their names are compared once a way, and a pair
+    only takes the distance."""
+    from granary.operators import resolution as R
+
+    rows = [(i, "Ann" if i % 2 else "Anne", "Lee", None, None, None, None, "Oak 1", 1.0 + i * 0.01, 2.0) for i in range(60)]
+    records = spark.createDataFrame(rows, "id long, given string, family string, organization string, phone string, email string, address_key string, address_raw string, lat double, lon double")
+    model = R.Model()
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(a, b):
+        asked.add(1)
+        return 0 if a == b else 1
+
+    given = R.Comparison("given", lambda a, b: counted(f"{a}given", f"{b}given"), (0.8, 0.15, 0.05), (0.01, 0.03, 0.96))
+    counting = R.Model((given, *model.comparisons[1:]), frequency=None)
+    got = [(r["lo"], r["hi"], r["l_given"], r["l_spatial"]) for r in R.scored(records, counting, None).collect()]
+    km = lambda a, b: abs(a[8] - b[8]) * math.pi / 180 * 6371.0
+    near = [(a, b) for a in rows for b in rows if a[0] < b[0] and abs(math.floor(a[8] / 0.05) - math.floor(b[8] / 0.05)) <= 2]
+    assert sorted(got) == sorted((a[0], b[0], int(a[1] != b[1]), 1 + sum(km(a, b) > x for x in (0.05, 0.5, 5.0))) for a, b in near)
+    assert asked.value == 8  # two profiles: four pairs at most, both ways round
